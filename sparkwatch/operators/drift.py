@@ -79,8 +79,8 @@ def _bin_shares(counts: DataFrame, edges: DataFrame, totals: DataFrame, floor: f
     all_bins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
     return (all_bins.join(binned, ["feature", "bin"], "left").join(totals, "feature", "inner")
             .select("feature", "bin",
-                    F.coalesce(F.col("k_b") / F.col("n_baseline"), F.lit(0.0)).alias("e"),
-                    F.coalesce(F.col("k_c") / F.col("n_current"), F.lit(0.0)).alias("a"))
+                    F.coalesce(F.try_divide(F.col("k_b"), F.col("n_baseline")), F.lit(0.0)).alias("e"),
+                    F.coalesce(F.try_divide(F.col("k_c"), F.col("n_current")), F.lit(0.0)).alias("a"))
             .withColumn("e", F.when(F.col("e") == 0, F.lit(floor)).otherwise(F.col("e")))
             .withColumn("a", F.when(F.col("a") == 0, F.lit(floor)).otherwise(F.col("a"))))
 
@@ -123,8 +123,8 @@ def ks(baseline: DataFrame, current: DataFrame, features: Sequence[str],
     totals = _side_totals(counts, features)
     cum = running_totals(counts, ["feature"], ["value"], ["c_b", "c_c"], blocks=blocks)
     d = (cum.join(totals, "feature", "inner")
-         .groupBy("feature").agg(F.max(F.abs(F.col("cum_c_b") / F.col("n_baseline")
-                                             - F.col("cum_c_c") / F.col("n_current"))).alias("_d")))
+         .groupBy("feature").agg(F.max(F.abs(F.try_divide(F.col("cum_c_b"), F.col("n_baseline"))
+                                             - F.try_divide(F.col("cum_c_c"), F.col("n_current")))).alias("_d")))
     ok, status = _status()
     out = totals.join(d, "feature", "left")
     return out.select("feature", "n_baseline", "n_current", F.when(ok, F.col("_d")).alias("score"),
