@@ -139,6 +139,7 @@ def _scored() -> str:
     return """
 SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING),
                  CAST(l_suppkey AS STRING), CAST(l_linenumber AS STRING)) AS row_key,
+       side,
        CASE WHEN (g_0 + g_1 + g_2 - g_7 > 0) <> (l_suppkey % 50 = 0) THEN 1 ELSE 0 END AS label,
        CASE WHEN g_0 + g_1 > 0 THEN 1 ELSE 0 END AS champion,
        CASE WHEN g_0 + g_1 + g_2 - g_7 > 0 THEN 1 ELSE 0 END AS challenger
