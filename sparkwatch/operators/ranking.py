@@ -119,3 +119,46 @@ def percentile_array(pct: DataFrame, keys: Sequence[str], name: str = "q") -> Da
     """Collect the percentiles of each key into an array ordered by probability."""
     return (pct.groupBy(*keys)
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("p_idx", "q"))), lambda s: s["q"]).alias(name)))
+
+
+def trailing_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column], sum_cols: Sequence[str],
+                  k: int, block_expr: Column | None = None, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+    """Sum of ``sum_cols`` over the last ``k`` rows (this one included) of each key in
+    ``order_cols`` order, plus ``rn`` (1-based position) and ``fill`` = min(rn, k).
+
+    Computed as running total(rn) - running total(rn - k): blocked running totals and
+    one equi-join on (keys, rn) - no single-task window per key, however hot the key.
+    """
+    keys = list(keys)
+    tmp_key = not keys
+    if tmp_key:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    base = df.withColumn("_one", F.lit(1))
+    cum = running_totals(base, keys, order_cols, [*sum_cols, "_one"], block_expr=block_expr, blocks=blocks)
+    cum = cum.withColumn("rn", F.col("cum__one").cast("long")).drop("_one", "cum__one")
+    prev = cum.select(*keys, (F.col("rn") + k).alias("rn"), *[F.col("cum_" + c).alias("_p_" + c) for c in sum_cols])
+    out = cum.join(prev, keys + ["rn"], "left")
+    for c in sum_cols:
+        out = out.withColumn("win_" + c, F.col("cum_" + c) - F.coalesce(F.col("_p_" + c), F.lit(0)))
+    out = out.withColumn("fill", F.least(F.col("rn"), F.lit(k)))
+    out = out.drop(*["_p_" + c for c in sum_cols])
+    return out.drop("_all") if tmp_key else out
+
+
+def runs_of_true(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column], cond_col: str,
+                 time_col: str, block_expr: Column | None = None, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+    """Gaps and islands: for every row where ``cond_col`` is true, ``run_start`` = the
+    ``time_col`` of the first row of its uninterrupted run of true rows (NULL when false).
+    Rows of one run share the running count of false rows, so the start is a grouped min."""
+    keys = list(keys)
+    tmp_key = not keys
+    if tmp_key:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    flagged = df.withColumn("_false", F.when(F.col(cond_col), 0).otherwise(1))
+    cum = running_totals(flagged, keys, order_cols, ["_false"], block_expr=block_expr, blocks=blocks)
+    starts = (cum.filter(F.col(cond_col)).groupBy(*keys, "cum__false")
+              .agg(F.min(time_col).alias("run_start")))
+    out = (cum.join(starts, keys + ["cum__false"], "left")
+           .withColumn("run_start", F.when(F.col(cond_col), F.col("run_start")))
+           .drop("_false", "cum__false"))
+    return out.drop("_all") if tmp_key else out

@@ -16,7 +16,7 @@ from .registry import register
 
 # DuckDB twin of the feedback view: latest prediction per id, latest label per id,
 # label attached only if not older than the prediction.
-FV = with_clause("pred", "fb").rstrip() + """,
+FV_DERIVED = """
 lp AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY request_id
           ORDER BY ts DESC, prediction DESC, model_version DESC) AS rn FROM pred) WHERE rn = 1),
 ll AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY request_id
@@ -29,6 +29,7 @@ fv AS (SELECT lp.request_id, lp.ts AS "timestamp", lp.prediction,
        FROM lp LEFT JOIN ll USING (request_id)),
 lab AS (SELECT * FROM fv WHERE actual_label IS NOT NULL)
 """
+FV = with_clause("pred", "fb").rstrip() + "," + FV_DERIVED
 
 AS_OF = "2024-02-01 00:00:00"
 

@@ -44,6 +44,8 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         t = f.dataType.simpleString()
         if t in ("double", "float"):
             cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+        elif t in ("map<string,double>",):
+            cols.append(F.transform_values(f.name, lambda k, v: F.round(v, digits)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
