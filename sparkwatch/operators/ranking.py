@@ -23,7 +23,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCKS = 64
+DEFAULT_BLOCKS = None          # None: choose from the optimizer's size estimate
+BLOCK_TARGET_BYTES = 128 << 20  # ~128 MiB of input per block
+MAX_BLOCKS = 1024
+
+
+def auto_blocks(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES, max_blocks: int = MAX_BLOCKS) -> int:
+    """Number of order blocks from Catalyst's size estimate of ``df`` (no job is run):
+    1 for small inputs (a plain window is cheapest), growing with the estimated bytes."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable: assume large
+        return 64
+    return int(max(1, min(max_blocks, -(-size // target_bytes))))
 
 
 def _block_edges(df: DataFrame, keys: Sequence[str], block_expr: Column, blocks: int) -> DataFrame:
@@ -45,7 +57,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     if block_expr is None:
         block_expr = order_cols[0].cast("double")
-    blocks = max(1, int(blocks))
+    blocks = auto_blocks(df) if blocks is None else max(1, int(blocks))
     if blocks == 1:
         w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
         out = df
