@@ -12,7 +12,7 @@ from ..fixtures import fixture_df, load_table, with_clause
 from ..operators import knn, models as ML, split
 from ..operators import metrics as M
 from ..schema import FEATURE_COLUMNS
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from .pipeline import training_pipeline
 from .registry import register
 
@@ -20,7 +20,8 @@ from .registry import register
 def _train_test(spark, sf_dir):
     ph = fixture_df(spark, sf_dir, "phish").filter("side = 'baseline'").drop("side")
     tr, te = split.train_test_split(ph, "row_key")
-    return ML.prepare(tr, FEATURE_COLUMNS), ML.prepare(te, FEATURE_COLUMNS)
+    # iterative fitting passes over the training rows many times: materialise them once
+    return cut_lineage(ML.prepare(tr, FEATURE_COLUMNS)), cut_lineage(ML.prepare(te, FEATURE_COLUMNS))
 
 
 def _fit_eval(spark, sf_dir, name, **kw):
