@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import histogram_bin, kolmogorov_pvalue, linspace
+from ..session import cut_lineage
 from .ranking import DEFAULT_BLOCKS, exact_percentiles, percentile_array, running_totals
 
 BASE, CUR = "b", "c"
@@ -44,13 +45,19 @@ def to_long(df: DataFrame, features: Sequence[str], id_cols: Sequence[str] = ())
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def pair_counts(baseline: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value, c_b, c_c): per distinct value, count on each side."""
+def pair_counts(baseline: DataFrame, current: DataFrame, features: Sequence[str],
+                materialize: bool = True) -> DataFrame:
+    """(feature, value, c_b, c_c): per distinct value, count on each side.
+
+    This is the only pass over the raw rows; every statistic reads the count table from
+    several branches, so it is materialised once (reliable checkpoint) instead of having
+    each branch re-read and re-unpivot the input."""
     b = to_long(baseline, features).withColumn("side", F.lit(BASE))
     c = to_long(current, features).withColumn("side", F.lit(CUR))
-    return (b.unionByName(c).groupBy("feature", "value")
-            .agg(F.count(F.when(F.col("side") == BASE, 1)).alias("c_b"),
-                 F.count(F.when(F.col("side") == CUR, 1)).alias("c_c")))
+    counts = (b.unionByName(c).groupBy("feature", "value")
+              .agg(F.count(F.when(F.col("side") == BASE, 1)).alias("c_b"),
+                   F.count(F.when(F.col("side") == CUR, 1)).alias("c_c")))
+    return cut_lineage(counts) if materialize else counts
 
 
 def _feature_frame(spark, features: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .drift import to_long
 from .ranking import DEFAULT_BLOCKS, exact_percentiles
 
@@ -47,4 +48,5 @@ def feature_profile(df: DataFrame, features: Sequence[str], keys: Sequence[str]
     keys = list(keys)
     counts = (to_long(df, features, keys).groupBy(*keys, "feature", "value")
               .agg(F.count(F.lit(1)).alias("c")))
-    return profile_from_counts(counts, keys + ["feature"], blocks)
+    # one pass over the rows; moments and quartiles read the materialised count table
+    return profile_from_counts(cut_lineage(counts), keys + ["feature"], blocks)

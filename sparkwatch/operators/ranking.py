@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BLOCKS = None          # None: choose from the optimizer's size estimate
 BLOCK_TARGET_BYTES = 128 << 20  # ~128 MiB of input per block
 MAX_BLOCKS = 1024
@@ -134,7 +136,8 @@ def percentile_array(pct: DataFrame, keys: Sequence[str], name: str = "q") -> Da
 
 
 def trailing_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column], sum_cols: Sequence[str],
-                  k: int, block_expr: Column | None = None, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                  k: int, block_expr: Column | None = None, blocks: int = DEFAULT_BLOCKS,
+                  materialize: bool = True) -> DataFrame:
     """Sum of ``sum_cols`` over the last ``k`` rows (this one included) of each key in
     ``order_cols`` order, plus ``rn`` (1-based position) and ``fill`` = min(rn, k).
 
@@ -148,6 +151,9 @@ def trailing_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str |
     base = df.withColumn("_one", F.lit(1))
     cum = running_totals(base, keys, order_cols, [*sum_cols, "_one"], block_expr=block_expr, blocks=blocks)
     cum = cum.withColumn("rn", F.col("cum__one").cast("long")).drop("_one", "cum__one")
+    if materialize:
+        # the running totals feed both sides of the self-join: compute them once
+        cum = cut_lineage(cum)
     prev = cum.select(*keys, (F.col("rn") + k).alias("rn"), *[F.col("cum_" + c).alias("_p_" + c) for c in sum_cols])
     out = cum.join(prev, keys + ["rn"], "left")
     for c in sum_cols:
