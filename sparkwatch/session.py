@@ -82,7 +82,14 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="sparkwatch-pkg-")
+    # prefer the shared scratch folder when it is a filesystem path; Spark ships the file anyway
+    base = ensure_checkpoint_dir(spark)
+    local = base.startswith("/") or base.startswith("file:")
+    if local:
+        out_dir = os.path.join(base.replace("file://", "").replace("file:", ""), "sparkwatch-pkg", uuid.uuid4().hex[:8])
+        os.makedirs(out_dir, exist_ok=True)
+    else:
+        out_dir = tempfile.mkdtemp(prefix="sparkwatch-pkg-")
     zpath = os.path.join(out_dir, "sparkwatch.zip")
     with zipfile.ZipFile(zpath, "w") as z:
         for dirpath, _, files in os.walk(pkg_dir):
