@@ -98,3 +98,14 @@ def test_alert_reason(spark):
                                 ('{"status":"firing","alerts":[]}',), (None,)], "payload string")
     got = [r[0] for r in df.select(R.alert_reason("payload")).collect()]
     assert got == ["HighDataDrift: psi 0.7", "Unknown: ", "Webhook trigger", "Webhook trigger"]
+
+
+def test_results_unchanged_by_repartition(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(f"r{i:04d}", h(i // 3), rnd.randint(0, 1), "{}", f"v{i % 2}", None) for i in range(300)]
+    pred = spark.createDataFrame(rows, PRED)
+    lab = spark.createDataFrame([(f"r{i:04d}", h(i // 3 + 1), rnd.randint(0, 1), None) for i in range(0, 300, 2)], LAB)
+    def roll(p, l):
+        return sorted(tuple(r) for r in MO.rolling_accuracy(FB.feedback_view(p, l)).collect())
+    assert roll(pred, lab) == roll(pred.repartition(7), lab.repartition(3))
