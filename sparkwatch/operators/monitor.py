@@ -157,7 +157,8 @@ def drift_report(baseline_features: DataFrame, current_features: DataFrame, feat
         F.when(F.col("data_drift_detected"), F.lit(RECOMMEND_DATA)),
         F.when(F.col("model_drift_detected"), F.lit(RECOMMEND_MODEL)),
         F.when(F.col("concept_drift_detected"),
-               F.concat(F.lit("Accuracy dropped by "), drop_txt, F.lit(". Retrain model immediately."))),
+               F.concat(F.lit(RECOMMEND_CONCEPT.split("{drop}")[0]), drop_txt,
+                        F.lit(RECOMMEND_CONCEPT.split("{drop}")[1]))),
         F.when(~(F.col("data_drift_detected") | F.col("model_drift_detected") | F.col("concept_drift_detected")),
                F.lit(RECOMMEND_NONE))))
     ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
