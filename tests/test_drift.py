@@ -120,3 +120,26 @@ def test_unknown_method_is_error(spark):
     x = frame(spark, [1, 2])
     with pytest.raises(ValueError):
         drift.data_drift(x, x, ["x"], method="kl")
+
+
+def test_nan_dropped_before_statistics(spark):
+    clean = frame(spark, [1, 2, 3, 4, 5, 6])
+    dirty = spark.createDataFrame([(v,) for v in [1.0, 2.0, float("nan"), 3.0, 4.0, None, 5.0, 6.0]], "x double")
+    for fn in (drift.psi, drift.ks, drift.js):
+        assert score(fn(clean, dirty, ["x"]))["x"] == pytest.approx(0.0, abs=1e-12)
+    r = drift.ks(clean, dirty, ["x"]).first()
+    assert (r["n_baseline"], r["n_current"]) == (6, 6)
+
+
+def test_all_null_feature_is_insufficient_not_drift(spark):
+    a = spark.createDataFrame([(1.0, None), (2.0, None)], "x double, y double")
+    out = {r["feature"]: r for r in drift.data_drift(a, a, ["x", "y"], method="ks").collect()}
+    assert out["y"]["status"] == "insufficient_data" and out["y"]["drift"] is False and out["y"]["score"] is None
+    assert out["x"]["status"] == "ok"
+
+
+def test_single_class_model_drift(spark):
+    b = spark.createDataFrame([(1,)] * 4, "prediction int")
+    c = spark.createDataFrame([(0,)] * 4, "prediction int")
+    r = drift.model_drift(b, c).first()
+    assert r["class_distribution_shift"] == pytest.approx(1.0) and r["model_drift_detected"] is True
