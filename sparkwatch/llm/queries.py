@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, sharding
+from ..session import scratch_path
+from . import chat, mixing, packing, pii, quality, sharding, warc
 from .common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,48 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "conv_id long, turn long, role string, text string")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.expand(turns))
+
+
+WARC_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (
+  SELECT *, list_aggregate(list_transform(range(40), lambda i: substr(
+      '0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(h, (i + 1)::INT, 1))::INT - 3, 4)),
+      'string_agg', '') AS b
+  FROM hashed),
+named AS (
+  SELECT page_id, payload_bytes, h, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + 16 * substr(b, (5 * i + 1)::INT, 1)::INT + 8 * substr(b, (5 * i + 2)::INT, 1)::INT + 4 * substr(b, (5 * i + 3)::INT, 1)::INT
+        + 2 * substr(b, (5 * i + 4)::INT, 1)::INT + substr(b, (5 * i + 5)::INT, 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+      min(page_id) OVER (PARTITION BY h) AS first
+  FROM bits)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM named
+"""
+
+
+@query("op2_warc_merged_index", WARC_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as archives, reads them back and merges their index. The table has no
+    capture time; a page's is its id in seconds after 2024-01-01."""
+    pages = read_table(spark, sf_dir, "pages")
+    captured = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    path = scratch_path(spark, "warc")
+    warc.write_archives(pages.withColumn("captured", captured), path)
+    index = warc.capture_index(spark, path)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_quality_discriminant")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by the quadratic discriminant."""
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op3_feistel_pseudonyms")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for the personal data in their texts."""
+    return pii.mask(read_table(spark, sf_dir, "documents"))
