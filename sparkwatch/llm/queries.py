@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, mixing, packing, pii, quality, sharding, warc
+from . import chat, embedding_dedup, jaccard, mixing, neighbours, packing, pii, quality, sharding, warc
 from .common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,71 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for the personal data in their texts."""
     return pii.mask(read_table(spark, sf_dir, "documents"))
+
+
+NEAREST_SQL = r"""
+WITH usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+queries AS (SELECT vec_id, min(v) AS v FROM usable WHERE vec_id % 100 = 0 GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, u.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1),
+           lambda i: (q.v[i] - u.v[i]) * (q.v[i] - u.v[i])), lambda a, b: a + b)) AS score
+  FROM queries q JOIN usable u ON q.vec_id <> u.vec_id AND len(q.v) = len(u.v))
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
+@query("op4_vantage_point_search", NEAREST_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+DEDUP_SQL = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a
+  JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS r FROM embeddings UNION SELECT l.x, reach.r FROM reach JOIN links l ON l.y = reach.x)
+SELECT x AS vec_id, (SELECT count(*) FROM links l WHERE l.x = reach.x)::BIGINT AS n_links, min(r) AS component_id, min(r) = x AS kept
+FROM reach GROUP BY x
+"""
+
+
+@query("op7_multi_index_dedup", DEDUP_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal labels, over all rows."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
+  FROM words),
+items AS (SELECT doc_id, unnest(s) AS x FROM shingles),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 85 * ((SELECT len(s) FROM shingles z WHERE z.doc_id = a.doc_id) + (SELECT len(s) FROM shingles z WHERE z.doc_id = b.doc_id) - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS r FROM documents UNION SELECT l.x, reach.r FROM reach JOIN both_ways l ON l.y = reach.x),
+least AS (SELECT x, min(r) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM shingles JOIN least ON x = doc_id
+"""
+
+
+@query("op6_partition_jaccard_join", JACCARD_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets reach a Jaccard similarity of 0.85."""
+    return jaccard.join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
