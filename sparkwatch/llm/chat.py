@@ -137,9 +137,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(done, names, types)
 
 
-def read_back(examples: DataFrame) -> DataFrame:
+def read_back(examples: DataFrame, grouped: bool = False) -> DataFrame:
     """What the formatted examples of each conversation hold: the turns are parsed from the
     longest example, the trained text is the concatenation of the loss spans, unescaped;
-    ``formatted_chars`` counts all examples."""
-    dealt = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    ``formatted_chars`` counts all examples. ``grouped``: each conversation's examples follow
+    each other in one partition already, as ``expand`` leaves them, and aren't shuffled again."""
+    dealt = examples if grouped else examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
     return dealt.select("conv_id", "text", "loss_start", "loss_end").mapInArrow(_read_back, DIGESTS)

@@ -114,13 +114,12 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeats: int =
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: every row of ``docs`` repeated as often as the mix takes it.
     Columns as in ``docs``. The mix travels to the rows by (doc_id, source, size)."""
-    t = mix(docs, **options).where(F.col("passes") > 0)
-    size = free_name(docs, "mix_size")
+    size, copy = free_name(docs, "mix_size"), free_name(docs, "mix_copy")
     rows = docs.withColumn(size, word_count(F.col("text"))).alias("d")
-    t = t.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "passes")
-    on = (F.col("d.doc_id").eqNullSafe(F.col("t_id")) & F.col("d.source").eqNullSafe(F.col("t_source"))
-          & (F.col(f"d.{size}") == F.col("t_size")))
-    joined = rows.join(t, on)
-    # one output row for each pass; the array only counts
-    return (joined.withColumn("t_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
-            .select(*[F.col(f"d.`{c}`") for c in docs.columns]))
+    takes = mix(docs, **options).where(F.col("passes") > 0).alias("t")
+    on = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
+          & (F.col(f"d.{size}") == F.col("t.size")))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    # one output row for each pass
+    repeated = rows.join(takes, on).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.passes"))).alias(copy))
+    return repeated.drop(copy)

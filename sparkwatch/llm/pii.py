@@ -220,8 +220,8 @@ def pseudonyms(key: bytes) -> Pseudonyms:
 
 
 def mask(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``; with ``counts`` also ``n_<kind>`` columns, which
-    the input must not have. No shuffle."""
+    """``docs`` with pseudonyms in ``text``; with ``counts`` also ``n_<kind>`` columns, in place
+    of columns of these names. No shuffle."""
     prepare(docs.sparkSession)
     require_columns(docs, "text")
 
@@ -232,6 +232,7 @@ def mask(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
         return pd.DataFrame({"text": [r[0] for r in rows]} | {f"n_{k}": [r[1].get(k, 0) for r in rows] for k in KINDS})
 
     out = free_name(docs, "masked")
-    columns = [F.col(f"{out}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    names = {f"n_{k}" for k in KINDS} if counts else set()
+    columns = [F.col(f"{out}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
     extra = [F.col(f"{out}.n_{k}").alias(f"n_{k}") for k in KINDS] if counts else []
     return docs.withColumn(out, run(F.col("text"))).select(*columns, *extra)

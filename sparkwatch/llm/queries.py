@@ -107,7 +107,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)],
                                   "conv_id long, turn long, role string, text string")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.expand(turns))
+    return chat.read_back(chat.expand(turns), grouped=True)
 
 
 WARC_SQL = r"""

@@ -9,8 +9,8 @@ slots (they differ by one at most), and when a shard leaves, few slots of the ot
 
 Defined cases: a null key is placed like any other value (it has a slot of its own choice of
 hash); equal keys share a shard, so repeated rows stay together; an empty table stays empty;
-texts are not looked at; columns of the input are kept and must not be named ``slot`` or
-``shard`` (ValueError).
+texts are not looked at; columns of the input are kept, except that the result's ``slot`` and
+``shard`` take the place of columns of these names.
 """
 
 from __future__ import annotations
@@ -72,11 +72,9 @@ def place(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS,
     is the parameter ``size``."""
     prepare(docs.sparkSession)
     require_columns(docs, key)
-    if {c.lower() for c in docs.columns} & {"slot", "shard"}:
-        raise ValueError("slot and shard are names of the result")
-    return (docs.withColumn("slot", slot_of(F.col(f"`{key}`"), size))
-            .join(F.broadcast(table_frame(docs.sparkSession, shards, size)), "slot")
-            .select(*[F.col(f"`{c}`") for c in docs.columns], "slot", "shard"))
+    keyed = docs.withColumn("slot", slot_of(F.col(f"`{key}`"), size)).drop("shard")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("slot", "shard")]
+    return keyed.join(F.broadcast(table_frame(docs.sparkSession, shards, size)), "slot").select(*kept, "slot", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: Sequence[str] = SHARDS,
