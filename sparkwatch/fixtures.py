@@ -198,12 +198,8 @@ def with_clause(*names: str) -> str:
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a driver table. The test tables are single-row-group files (one scan task);
-    spread them over the session's cores so that the fixture expressions do not all run
-    in one task. (Production tables arrive in many files and need no such step.)"""
-    df = spark.read.parquet(table_path(sf_dir, name))
-    want = spark.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    """Read a driver table."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def fixture_df(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

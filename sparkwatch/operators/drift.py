@@ -5,7 +5,9 @@ unpivoted once into ``(side, feature, value)`` and reduced to one row per
 ``(feature, value)`` with a count per side; everything afterwards works on that
 count table (map-side combined, so the shuffle carries distinct values only).
 All per-feature ordering goes through the blocked running totals of
-``ranking.py`` so a feature is never one task.
+``ranking.py`` so a feature is never one task. Frames of one row per feature (totals,
+edges) are broadcast to the counts. The baseline side can be a stored table of counts
+instead of rows (``counts_of`` / ``baseline_counts``).
 
 Missing values (NULL/NaN) are dropped per feature before any statistic. A feature
 with no value on either side gets a NULL score and status ``insufficient_data``
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import histogram_bin, kolmogorov_pvalue, linspace
 from ..session import cut_lineage
-from .ranking import DEFAULT_BLOCKS, exact_percentiles, percentile_array, running_totals
+from .ranking import exact_percentiles, percentile_array, running_totals
 
 BASE, CUR = "b", "c"
 
@@ -45,18 +47,34 @@ def to_long(df: DataFrame, features: Sequence[str], id_cols: Sequence[str] = ())
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def pair_counts(baseline: DataFrame, current: DataFrame, features: Sequence[str],
-                materialize: bool = True) -> DataFrame:
+def counts_of(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), name: str = "c") -> DataFrame:
+    """(keys..., feature, value, ``name``): how often each distinct non-missing value occurs. Rows
+    are grouped by the feature's number; its name is put in after the aggregation."""
+    if not features:
+        return df.select(*keys).limit(0).select(*keys, F.lit("").alias("feature"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias(name))
+    values = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    long = df.select(*keys, F.posexplode(values).alias("_f", "value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = long.groupBy(*keys, "_f", "value").agg(F.count(F.lit(1)).alias(name))
+    names = F.array(*[F.lit(f) for f in features])
+    return counts.select(*keys, F.element_at(names, F.col("_f") + 1).alias("feature"), "value", name)
+
+
+def pair_counts(baseline: DataFrame | None, current: DataFrame, features: Sequence[str],
+                materialize: bool = True, baseline_counts: DataFrame | None = None) -> DataFrame:
     """(feature, value, c_b, c_c): per distinct value, count on each side.
 
     This is the only pass over the raw rows; every statistic reads the count table from
     several branches, so it is materialised once (reliable checkpoint) instead of having
-    each branch re-read and re-unpivot the input."""
-    b = to_long(baseline, features).withColumn("side", F.lit(BASE))
-    c = to_long(current, features).withColumn("side", F.lit(CUR))
-    counts = (b.unionByName(c).groupBy("feature", "value")
-              .agg(F.count(F.when(F.col("side") == BASE, 1)).alias("c_b"),
-                   F.count(F.when(F.col("side") == CUR, 1)).alias("c_c")))
+    each branch re-read and re-unpivot the input. With ``baseline_counts`` (feature, value,
+    c), a stored baseline, no baseline row is read."""
+    zero = F.lit(0).cast("long")
+    if baseline_counts is None:
+        baseline_counts = counts_of(baseline, features)
+    else:
+        baseline_counts = baseline_counts.select("feature", "value", "c").filter(F.col("feature").isin(list(features)))
+    b = baseline_counts.select("feature", "value", F.col("c").alias("c_b"), zero.alias("c_c"))
+    c = counts_of(current, features).select("feature", "value", zero.alias("c_b"), F.col("c").alias("c_c"))
+    counts = b.unionByName(c).groupBy("feature", "value").agg(F.sum("c_b").alias("c_b"), F.sum("c_c").alias("c_c"))
     return cut_lineage(counts) if materialize else counts
 
 
@@ -79,12 +97,12 @@ def _status(score_col: str = "score"):
 def _bin_shares(counts: DataFrame, edges: DataFrame, totals: DataFrame, floor: float) -> DataFrame:
     """Per (feature, bin): share of each side, counting only values inside the edges but
     dividing by all values of that side; empty share -> ``floor``."""
-    binned = (counts.join(edges, "feature", "inner")
+    binned = (counts.join(F.broadcast(edges), "feature", "inner")
               .withColumn("bin", histogram_bin(F.col("value"), F.col("edges")))
               .filter(F.col("bin").isNotNull())
               .groupBy("feature", "bin").agg(F.sum("c_b").alias("k_b"), F.sum("c_c").alias("k_c")))
     all_bins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    return (all_bins.join(binned, ["feature", "bin"], "left").join(totals, "feature", "inner")
+    return (all_bins.join(binned, ["feature", "bin"], "left").join(F.broadcast(totals), "feature", "inner")
             .select("feature", "bin",
                     F.coalesce(F.try_divide(F.col("k_b"), F.col("n_baseline")), F.lit(0.0)).alias("e"),
                     F.coalesce(F.try_divide(F.col("k_c"), F.col("n_current")), F.lit(0.0)).alias("a"))
@@ -92,12 +110,12 @@ def _bin_shares(counts: DataFrame, edges: DataFrame, totals: DataFrame, floor: f
             .withColumn("a", F.when(F.col("a") == 0, F.lit(floor)).otherwise(F.col("a"))))
 
 
-def psi_edges(counts: DataFrame, bins: int = PSI_BINS, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def psi_edges(counts: DataFrame, bins: int = PSI_BINS, blocks: int | None = None) -> DataFrame:
     """(feature, edges): unique linear-interpolated baseline percentiles 0..100 in
     ``bins`` steps; equal-width edges over baseline min..max when fewer than 3."""
     base = counts.filter(F.col("c_b") > 0).select("feature", "value", F.col("c_b").alias("c"))
     probs = [i / bins for i in range(bins + 1)]
-    pct = exact_percentiles(None, ["feature"], "value", probs, blocks=blocks, counts=base)
+    pct = exact_percentiles(base, ["feature"], "value", probs, blocks=blocks)
     arr = percentile_array(pct, ["feature"], "q")
     uniq = F.array_sort(F.array_distinct(F.col("q")))
     lo, hi = F.element_at("q", 1), F.element_at("q", -1)
@@ -106,12 +124,13 @@ def psi_edges(counts: DataFrame, bins: int = PSI_BINS, blocks: int = DEFAULT_BLO
 
 
 def psi(baseline: DataFrame, current: DataFrame, features: Sequence[str],
-        bins: int = PSI_BINS, blocks: int = DEFAULT_BLOCKS, counts: DataFrame | None = None) -> DataFrame:
+        bins: int = PSI_BINS, blocks: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Population stability index per feature:
     (feature, n_baseline, n_current, n_edges, score, status)."""
     counts = counts if counts is not None else pair_counts(baseline, current, features)
     totals = _side_totals(counts, features)
-    edges = psi_edges(counts, bins, blocks)
+    # one row per feature, read by three branches: computed once
+    edges = cut_lineage(psi_edges(counts, bins, blocks))
     shares = _bin_shares(counts, edges, totals, PSI_FLOOR)
     score = shares.groupBy("feature").agg(
         F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("_s"))
@@ -123,13 +142,13 @@ def psi(baseline: DataFrame, current: DataFrame, features: Sequence[str],
 
 
 def ks(baseline: DataFrame, current: DataFrame, features: Sequence[str],
-       blocks: int = DEFAULT_BLOCKS, counts: DataFrame | None = None) -> DataFrame:
+       blocks: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per feature:
     (feature, n_baseline, n_current, score, p_value, status)."""
     counts = counts if counts is not None else pair_counts(baseline, current, features)
     totals = _side_totals(counts, features)
     cum = running_totals(counts, ["feature"], ["value"], ["c_b", "c_c"], blocks=blocks)
-    d = (cum.join(totals, "feature", "inner")
+    d = (cum.join(F.broadcast(totals), "feature", "inner")
          .groupBy("feature").agg(F.max(F.abs(F.try_divide(F.col("cum_c_b"), F.col("n_baseline"))
                                              - F.try_divide(F.col("cum_c_c"), F.col("n_current")))).alias("_d")))
     ok, status = _status()
@@ -160,34 +179,38 @@ def js(baseline: DataFrame, current: DataFrame, features: Sequence[str],
 METHODS = {"psi": (psi, PSI_THRESHOLD), "ks": (ks, KS_THRESHOLD), "js": (js, JS_THRESHOLD)}
 
 
-def data_drift(baseline: DataFrame, current: DataFrame, features: Sequence[str] | None = None,
-               method: str = "psi", threshold: float | None = None, **kw) -> DataFrame:
-    """Per-feature drift: (feature, method, score, threshold, drift, status).
+def data_drift(baseline: DataFrame | None, current: DataFrame, features: Sequence[str] | None = None,
+               method: str = "psi", threshold: float | None = None, baseline_counts: DataFrame | None = None, **kw) -> DataFrame:
+    """Per-feature drift: (feature, method, score, threshold, drift, status). The baseline is a
+    table of rows, or the stored value counts (feature, value, c) of ``baseline_counts``.
     Features of ``current`` missing from the baseline are skipped; drift is strict
     ``score > threshold``; an unknown method is an error."""
     if method not in METHODS:
         raise ValueError(f"unknown drift method: {method}")
     fn, default_thr = METHODS[method]
     thr = default_thr if threshold is None else float(threshold)
-    if features is None:
-        features = [c for c in current.columns if c in set(baseline.columns)]
+    if baseline_counts is not None:
+        # the stored feature names are as many as the features of a model
+        known = {r["feature"] for r in baseline_counts.select("feature").distinct().collect()}
     else:
-        features = [c for c in features if c in set(baseline.columns) and c in set(current.columns)]
-    res = fn(baseline, current, features, **kw)
+        known = set(baseline.columns)
+    features = [c for c in (current.columns if features is None else features) if c in known and c in set(current.columns)]
+    res = fn(baseline, current, features, counts=pair_counts(baseline, current, features, baseline_counts=baseline_counts), **kw)
     return res.select("feature", F.lit(method).alias("method"), "score", F.lit(thr).alias("threshold"),
                       F.coalesce(F.col("score") > F.lit(thr), F.lit(False)).alias("drift"), "status")
 
 
 def data_drift_summary(per_feature: DataFrame) -> DataFrame:
-    """One row: any feature drifting, and the score map."""
+    """One row: any feature drifting, and the score and method by feature, in feature order."""
     return per_feature.agg(
         F.coalesce(F.bool_or("drift"), F.lit(False)).alias("data_drift_detected"),
-        F.map_from_entries(F.collect_list(F.struct("feature", "score"))).alias("feature_drift_scores"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "score")))).alias("feature_drift_scores"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "method")))).alias("feature_drift_type"),
         F.count(F.when(F.col("drift"), 1)).alias("n_drifted"))
 
 
 def validation_drift(base_df: DataFrame, current_df: DataFrame, alpha: float = KS_PVALUE_ALPHA,
-                     blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                     blocks: int | None = None) -> DataFrame:
     """KS p-value test per numeric column present in both tables:
     (column, p_value, drift_status) with drift_status 'true'/'false'/'insufficient_data'."""
     numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")

@@ -3,10 +3,10 @@ timelines, the drift report, metric series (counters / gauges / histograms) and
 alert rules evaluated over event time.
 
 Scale notes
-* Rolling windows over labeled pairs and alert windows over time slots are
-  differences of blocked prefix sums (``ranking.trailing_sums``) - a hot model
-  version is never one task.
-* Alert ``for:`` holds are gaps-and-islands (``ranking.runs_of_true``).
+* Rolling windows over labeled pairs and alert windows over time slots run inside
+  blocks of a key's time axis, with the last rows before each block carried along
+  (``ranking.trailing_sums``) - a hot model version is never one task.
+* Alert ``for:`` holds are gaps-and-islands over the same blocks (``ranking.runs_of_true``).
 * Evaluation grids have one row per series and time slot: their size grows with the
   time span, not with the number of events.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import class_name, safe_div
 from .drift import class_distribution, data_drift, data_drift_summary, model_drift
-from .ranking import DEFAULT_BLOCKS, runs_of_true, trailing_sums
+from ..session import cut_lineage
+from .ranking import runs_of_true, trailing_sums
 
 # ---- fixed values: monitoring defaults ----
 WINDOW_SIZE = 100
@@ -62,12 +63,14 @@ def _micros(c: Column) -> Column:
 
 def rolling_accuracy(pairs: DataFrame, keys: Sequence[str] = ("model_version",), ts_col: str = "timestamp",
                      id_col: str = "request_id", window: int = WINDOW_SIZE, pred_col: str = "prediction",
-                     label_col: str = "actual_label", blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                     label_col: str = "actual_label", blocks: int | None = None) -> DataFrame:
     """DRF-08/09: accuracy over the last ``window`` labeled pairs in (ts, id) order, per key:
     (keys..., id, ts, rn, window_fill, rolling_accuracy). Unlabeled rows are ignored."""
     keys = list(keys)
     lab = pairs.filter(F.col(label_col).isNotNull()).select(
         *keys, id_col, ts_col, F.when(F.col(pred_col) == F.col(label_col), 1).otherwise(0).alias("hit"))
+    # narrow rows that several branches read (edges, windows, carried rows): the view is computed once
+    lab = cut_lineage(lab)
     t = trailing_sums(lab, keys, [ts_col, id_col], ["hit"], window, block_expr=_micros(F.col(ts_col)).cast("double"),
                       blocks=blocks)
     return t.select(*keys, id_col, ts_col, "rn", F.col("fill").cast("long").alias("window_fill"),
@@ -91,7 +94,7 @@ def concept_drift(rolling: DataFrame, keys: Sequence[str] = ("model_version",),
 def block_model_drift(baseline_preds: DataFrame, current_preds: DataFrame, keys: Sequence[str] = ("model_version",),
                       ts_col: str = "ts", id_col: str = "request_id", pred_col: str = "prediction",
                       interval: int = CHECK_INTERVAL, threshold: float = MODEL_DRIFT_THRESHOLD,
-                      blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                      blocks: int | None = None) -> DataFrame:
     """DRF-12: prediction-share shift of every block of ``interval`` consecutive current
     predictions (per key, in (ts, id) order) against that key's baseline shares:
     (keys..., block, n, class_distribution_shift, model_drift_detected)."""
@@ -163,7 +166,7 @@ def drift_report(baseline_features: DataFrame, current_features: DataFrame, feat
                F.lit(RECOMMEND_NONE))))
     ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
     return row.select(ts.alias("timestamp"), "data_drift_detected", "model_drift_detected", "concept_drift_detected",
-                      "feature_drift_scores", "class_distribution_shift", "rolling_accuracy", "accuracy_drop",
+                      "feature_drift_scores", "feature_drift_type", "class_distribution_shift", "rolling_accuracy", "accuracy_drop",
                       recs.alias("recommendations"))
 
 
@@ -230,6 +233,10 @@ def _hold_state(df: DataFrame, keys: Sequence[str], t_col: str, cond_col: str, h
                            .otherwise(F.lit("inactive"))).drop("run_start")
 
 
+#: Slots that one array of the evaluation grid holds at most.
+GRID_STEP = 4_096
+
+
 def _slot_grid(events: DataFrame, keys: Sequence[str], ts_col: str, step_s: int, k: int,
                aggs: Sequence[Column]) -> DataFrame:
     """Per series: one row per evaluation slot from its first event slot to its last + k - 1,
@@ -237,7 +244,10 @@ def _slot_grid(events: DataFrame, keys: Sequence[str], ts_col: str, step_s: int,
     slot = F.floor(_micros(F.col(ts_col)) / F.lit(step_s * 1_000_000)).cast("long")
     per = events.groupBy(*keys, slot.alias("slot")).agg(*aggs)
     rng = per.groupBy(*keys).agg(F.min("slot").alias("_lo"), F.max("slot").alias("_hi"))
-    grid = rng.select(*keys, F.explode(F.sequence("_lo", F.col("_hi") + (k - 1))).alias("slot"))
+    # in two steps, so that no array is long, however far apart the first and last event are
+    last = F.col("_hi") + (k - 1)
+    steps = rng.select(*keys, last.alias("_last"), F.explode(F.sequence("_lo", last, F.lit(GRID_STEP))).alias("_from"))
+    grid = steps.select(*keys, F.explode(F.sequence("_from", F.least(F.col("_from") + (GRID_STEP - 1), F.col("_last")))).alias("slot"))
     out = grid.join(per, list(keys) + ["slot"], "left")
     return out.fillna(0, subset=[c for c in per.columns if c not in list(keys) + ["slot"]])
 

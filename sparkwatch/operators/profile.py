@@ -13,27 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .drift import to_long
-from .ranking import DEFAULT_BLOCKS, exact_percentiles
+from .drift import counts_of
+from .ranking import exact_percentiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
 def feature_histogram(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., feature, value, n): count of every distinct non-missing value."""
-    return (to_long(df, features, keys).groupBy(*keys, "feature", "value")
-            .agg(F.count(F.lit(1)).alias("n")))
+    return counts_of(df, features, keys, "n")
 
 
 def profile_from_counts(counts: DataFrame, keys: Sequence[str] = ("feature",),
-                        blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                        blocks: int | None = None) -> DataFrame:
     """counts: (keys..., value, c). Returns (keys..., n, mean, std, q25, q50, q75)."""
     keys = list(keys)
     s1 = counts.groupBy(*keys).agg(F.sum("c").alias("n"),
                                    (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"))
-    dev = (counts.join(s1, keys, "inner")
+    dev = (counts.join(F.broadcast(s1), keys, "inner")
            .groupBy(*keys).agg(F.sum(F.col("c") * (F.col("value") - F.col("mean")) ** 2).alias("_ss")))
-    pct = exact_percentiles(None, keys, "value", list(QUARTILES), blocks=blocks, counts=counts)
+    pct = exact_percentiles(counts, keys, "value", list(QUARTILES), blocks=blocks)
     q = pct.groupBy(*keys).agg(*[F.max(F.when(F.col("p_idx") == i, F.col("q"))).alias(n)
                                  for i, n in enumerate(("q25", "q50", "q75"))])
     return (s1.join(dev, keys, "inner").join(q, keys, "left")
@@ -43,10 +42,8 @@ def profile_from_counts(counts: DataFrame, keys: Sequence[str] = ("feature",),
 
 
 def feature_profile(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
-                    blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                    blocks: int | None = None) -> DataFrame:
     """Per feature: n, mean, sample std (ddof=1), q25/q50/q75 (linear interpolation)."""
     keys = list(keys)
-    counts = (to_long(df, features, keys).groupBy(*keys, "feature", "value")
-              .agg(F.count(F.lit(1)).alias("c")))
     # one pass over the rows; moments and quartiles read the materialised count table
-    return profile_from_counts(cut_lineage(counts), keys + ["feature"], blocks)
+    return profile_from_counts(cut_lineage(counts_of(df, features, keys)), keys + ["feature"], blocks)

@@ -1,19 +1,19 @@
-"""Distributed running totals, ranks and exact percentiles.
+"""Distributed running totals, ranks, trailing windows and exact percentiles.
 
-A plain ``sum() OVER (PARTITION BY key ORDER BY v)`` puts every row of one key into
-one task: with 30 features (or 3 model versions) that is at most 30 tasks, and a hot
-key with a third of all rows is one huge sort. Here the order axis of every key is cut
-into blocks at approximate quantiles, so the work is split over ``keys x blocks``
-window partitions:
+A plain ``sum() OVER (PARTITION BY key ORDER BY v)`` puts every row of one key into one
+task. Here the order axis of every key is cut into as many blocks as the session has
+shuffle partitions, at approximate quantiles, whatever the size of the input:
 
-1. block edges per key: ``percentile_approx`` (one small aggregate, ``keys x blocks``
-   values; joined back with AQE choosing broadcast from runtime size);
+1. block edges per key: ``percentile_approx``, one row per key, broadcast;
 2. block of a row: number of edges <= its order value (monotone in the order value,
    equal order values always share a block);
-3. block totals -> exclusive running offset per block (a tiny window per key);
-4. running total inside the block (window per (key, block)) + the block offset.
+3. block totals, one array per key, summed up to the offset of each block;
+4. running total inside the block (a window per (key, block)) + the block's offset.
 
-Results are exact; the approximate edges only decide how evenly the work splits.
+Trailing windows and runs of true rows work the same way: a window inside the block, and
+what the block needs from before it (the last k - 1 rows, the start of an open run) comes
+from the per-key array of block summaries, which holds at most blocks x k values. Results
+are exact; the approximate edges only decide how evenly the work splits.
 """
 
 from __future__ import annotations
@@ -23,91 +23,105 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+EDGE_ACCURACY = 10_000
 
-DEFAULT_BLOCKS = None          # None: choose from the optimizer's size estimate
-BLOCK_TARGET_BYTES = 128 << 20  # ~128 MiB of input per block
-MAX_BLOCKS = 1024
 
+def _blocks(df: DataFrame, blocks: int | None) -> int:
+    return int(blocks or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def auto_blocks(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES, max_blocks: int = MAX_BLOCKS) -> int:
-    """Number of order blocks from Catalyst's size estimate of ``df`` (no job is run):
-    1 for small inputs (a plain window is cheapest), growing with the estimated bytes."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable: assume large
-        return 64
-    return int(max(1, min(max_blocks, -(-size // target_bytes))))
 
+def with_blocks(df: DataFrame, keys: Sequence[str], block_expr: Column, blocks: int | None = None) -> DataFrame:
+    """``df`` with ``_blk``, the block of each row on its key's order axis; null order values,
+    which sort first, are in block 0."""
+    n = _blocks(df, blocks)
+    axis = block_expr.cast("double")
+    edges = F.array_sort(F.array_distinct(F.percentile_approx(axis, [i / n for i in range(1, n)], EDGE_ACCURACY))) \
+        if n > 1 else F.array().cast("array<double>")
+    if keys:
+        # one row per key
+        per_key = df.groupBy(*keys).agg(edges.alias("_edges"))
+        out = _null_safe_join(df, F.broadcast(per_key), keys)
+        found = F.col("_edges")
+    else:
+        # one row of at most ``blocks`` numbers
+        row = df.agg(edges.alias("e")).first()
+        out, found = df, F.lit(list(row["e"] or [])).cast("array<double>")
+    block = F.size(F.filter(F.coalesce(found, F.array().cast("array<double>")), lambda e: e <= axis))
+    return out.withColumn("_blk", F.when(axis.isNull(), F.lit(0)).otherwise(block)).drop("_edges")
 
-def _block_edges(df: DataFrame, keys: Sequence[str], block_expr: Column, blocks: int) -> DataFrame:
-    probs = [i / blocks for i in range(1, blocks)]
-    return (df.groupBy(*keys)
-            .agg(F.array_sort(F.array_distinct(
-                F.percentile_approx(block_expr, probs, 10000))).alias("_edges")))
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Joins on keys that may be null; the result has the columns of ``left``, then the rest."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
-def running_totals(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column],
-                   sum_cols: Sequence[str], block_expr: Column | None = None,
-                   blocks: int = DEFAULT_BLOCKS, prefix: str = "cum_") -> DataFrame:
+
+def _summaries(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+    """(keys..., _a): per key the array of block summaries (_blk, aggs...) in block order."""
+    per_block = df.groupBy(*keys, "_blk").agg(*[c.alias(n) for n, c in aggs.items()])
+    return per_block.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", *aggs))).alias("_a"))
+
+
+def _per_block(summaries: DataFrame, keys: Sequence[str], **values) -> DataFrame:
+    """One row per key and block, with ``values`` computed from (array, index of the block)."""
+    rows = F.transform("_a", lambda x, i: F.struct(x["_blk"].alias("_blk"), *[f(F.col("_a"), i).alias(n) for n, f in values.items()]))
+    return summaries.select(*keys, F.explode(rows).alias("_s")).select(*keys, "_s.*")
+
+
+def _attach(df: DataFrame, per_block: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return _null_safe_join(df, per_block, [*keys, "_blk"])
+
+
+def _before(c: str, kind: str):
+    """The sum of summary ``c`` over the blocks before the given one."""
+    return lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0).cast(kind), lambda acc, x: acc + F.coalesce(x[c], F.lit(0)).cast(kind))
+
+
+def _kind(df: DataFrame, c: str) -> str:
+    t = df.schema[c].dataType.simpleString()
+    return "double" if t in ("float", "double") else "bigint" if not t.startswith("decimal") else "decimal(38,6)"
+
+
+def _running(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Column], sum_cols: Sequence[str], prefix: str) -> DataFrame:
+    """Running totals of a frame that has ``_blk``; ``_blk`` stays."""
+    offsets = _per_block(_summaries(df, keys, **{f"_t_{c}": F.sum(c) for c in sum_cols}), keys,
+                         **{f"_o_{c}": _before(f"_t_{c}", _kind(df, c)) for c in sum_cols})
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sum_cols])
+    out = _attach(summed, offsets, keys)
+    return out.select(*df.columns, *[(F.col(f"_i_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0))).alias(prefix + c) for c in sum_cols])
+
+
+def _order(order_cols: Sequence[str | Column], block_expr: Column | None) -> tuple[list[Column], Column]:
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    return cols, cols[0].cast("double") if block_expr is None else block_expr
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column], sum_cols: Sequence[str],
+                   block_expr: Column | None = None, blocks: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same keys up to and including
     this row in ``order_cols`` order (ROWS frame). ``order_cols`` must be a total
     order within a key (add a tie-break column); ``block_expr`` is a numeric
     expression non-decreasing in that order (default: the first order column).
     """
     keys = list(keys)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    if block_expr is None:
-        block_expr = order_cols[0].cast("double")
-    blocks = auto_blocks(df) if blocks is None else max(1, int(blocks))
-    if blocks == 1:
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-        out = df
-        for c in sum_cols:
-            out = out.withColumn(prefix + c, F.sum(c).over(w))
-        return out
-
-    edges = _block_edges(df, keys, block_expr, blocks)
-    with_block = (df.join(edges, keys, "left")
-                  .withColumn("_blk", F.size(F.filter(F.coalesce(F.col("_edges"), F.array().cast("array<double>")),
-                                                      lambda e: e <= block_expr.cast("double"))))
-                  .drop("_edges"))
-    # null order values sort first in ascending order: keep them in block 0
-    with_block = with_block.withColumn("_blk", F.when(block_expr.isNull(), F.lit(0)).otherwise(F.col("_blk")))
-
-    totals = with_block.groupBy(*keys, "_blk").agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
-    wk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_blk", *[F.coalesce(F.sum("_t_" + c).over(wk), F.lit(0)).alias("_o_" + c)
-                                            for c in sum_cols])
-    wb = Window.partitionBy(*keys, "_blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    out = with_block.join(offsets, keys + ["_blk"], "left")
-    for c in sum_cols:
-        out = out.withColumn(prefix + c, F.sum(c).over(wb) + F.col("_o_" + c))
-    return out.drop("_blk", *["_o_" + c for c in sum_cols])
-
-
-def value_counts(long_df: DataFrame, keys: Sequence[str], value_col: str = "value",
-                 side_col: str | None = None, sides: Sequence[str] = ()) -> DataFrame:
-    """One row per (keys, value) with a count column per side (or ``c``).
-    Map-side partial aggregation keeps the shuffle at #distinct values."""
-    if side_col is None:
-        return long_df.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("c"))
-    aggs = [F.count(F.when(F.col(side_col) == s, 1)).alias(f"c_{s}") for s in sides]
-    return long_df.groupBy(*keys, value_col).agg(*aggs)
+    order_cols, block_expr = _order(order_cols, block_expr)
+    return _running(with_blocks(df, keys, block_expr, blocks), keys, order_cols, sum_cols, prefix).drop("_blk")
 
 
-def exact_percentiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
-                      probs: Sequence[float], blocks: int = DEFAULT_BLOCKS,
-                      counts: DataFrame | None = None) -> DataFrame:
-    """Exact linear-interpolated percentiles per key, without holding a key's values in
-    one task: rank of every distinct value via distributed running totals, then a
-    range lookup of ranks floor/ceil(p*(n-1)).
+def exact_percentiles(counts: DataFrame, keys: Sequence[str], value_col: str, probs: Sequence[float],
+                      blocks: int | None = None) -> DataFrame:
+    """Exact linear-interpolated percentiles per key from ``counts`` (keys..., value, c), without
+    holding a key's values in one task: ranks of the distinct values are running totals, and
+    the wanted ranks floor/ceil(p*(n-1)), a few per key, are broadcast to them.
 
     Returns (keys..., p_idx, p, q) - one row per key and requested probability.
     """
     keys = list(keys)
-    if counts is None:
-        counts = value_counts(long_df, keys, value_col)
     cum = running_totals(counts, keys, [value_col], ["c"], blocks=blocks)
     cum = cum.withColumn("_lo_rank", F.col("cum_c") - F.col("c"))  # first 0-based rank of this value
     n = counts.groupBy(*keys).agg(F.sum("c").alias("_n"))
@@ -115,18 +129,13 @@ def exact_percentiles(long_df: DataFrame, keys: Sequence[str], value_col: str,
     pos = (n.select(*keys, "_n", F.explode(parr).alias("_p"))
            .select(*keys, "_p.p_idx", "_p.p", (F.col("_p.p") * (F.col("_n") - 1)).alias("_h"))
            .select(*keys, "p_idx", "p", "_h", F.floor("_h").alias("_r0"), F.ceil("_h").alias("_r1")))
-    targets = pos.select(*keys, "p_idx", F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.col("_r0").alias("r")),
-        F.struct(F.lit(1).alias("which"), F.col("_r1").alias("r")))).alias("_t")).select(*keys, "p_idx", "_t.*")
-    cond = [cum[k] == targets[k] for k in keys] + [targets["r"] >= cum["_lo_rank"], targets["r"] < cum["cum_c"]]
-    hits = (targets.join(cum, cond, "inner")
-            .select(*[targets[k] for k in keys], "p_idx", "which", F.col(value_col).alias("_v")))
-    vals = hits.groupBy(*keys, "p_idx").agg(
-        F.max(F.when(F.col("which") == 0, F.col("_v"))).alias("_v0"),
-        F.max(F.when(F.col("which") == 1, F.col("_v"))).alias("_v1"))
-    return (pos.join(vals, keys + ["p_idx"], "inner")
-            .select(*keys, "p_idx", "p",
-                    (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_r0"))).alias("q")))
+    cond = [cum[k].eqNullSafe(pos[k]) for k in keys]
+    hit = lambda r: (F.col(r) >= F.col("_lo_rank")) & (F.col(r) < F.col("cum_c"))
+    met = F.broadcast(pos).join(cum, [*cond, hit("_r0") | hit("_r1")], "inner").select(
+        *[pos[k] for k in keys], "p_idx", "p", "_h", "_r0", F.when(hit("_r0"), F.col(value_col)).alias("_v0"),
+        F.when(hit("_r1"), F.col(value_col)).alias("_v1"))
+    vals = met.groupBy(*keys, "p_idx", "p", "_h", "_r0").agg(F.max("_v0").alias("_v0"), F.max("_v1").alias("_v1"))
+    return vals.select(*keys, "p_idx", "p", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_r0"))).alias("q"))
 
 
 def percentile_array(pct: DataFrame, keys: Sequence[str], name: str = "q") -> DataFrame:
@@ -136,47 +145,83 @@ def percentile_array(pct: DataFrame, keys: Sequence[str], name: str = "q") -> Da
 
 
 def trailing_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column], sum_cols: Sequence[str],
-                  k: int, block_expr: Column | None = None, blocks: int = DEFAULT_BLOCKS,
-                  materialize: bool = True) -> DataFrame:
+                  k: int, block_expr: Column | None = None, blocks: int | None = None) -> DataFrame:
     """Sum of ``sum_cols`` over the last ``k`` rows (this one included) of each key in
-    ``order_cols`` order, plus ``rn`` (1-based position) and ``fill`` = min(rn, k).
+    ``order_cols`` order, as ``win_<c>``, plus ``rn`` (1-based position) and ``fill`` = min(rn, k).
 
-    Computed as running total(rn) - running total(rn - k): blocked running totals and
-    one equi-join on (keys, rn) - no single-task window per key, however hot the key.
+    A window of k rows runs inside each block; the first k - 1 rows of a block add the sums
+    of the last rows before it, carried in the block's summary.
     """
-    keys = list(keys)
-    tmp_key = not keys
-    if tmp_key:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    base = df.withColumn("_one", F.lit(1))
-    cum = running_totals(base, keys, order_cols, [*sum_cols, "_one"], block_expr=block_expr, blocks=blocks)
-    cum = cum.withColumn("rn", F.col("cum__one").cast("long")).drop("_one", "cum__one")
-    if materialize:
-        # the running totals feed both sides of the self-join: compute them once
-        cum = cut_lineage(cum)
-    prev = cum.select(*keys, (F.col("rn") + k).alias("rn"), *[F.col("cum_" + c).alias("_p_" + c) for c in sum_cols])
-    out = cum.join(prev, keys + ["rn"], "left")
+    keys, carried = list(keys), k - 1
+    order_cols, block_expr = _order(order_cols, block_expr)
+    base = with_blocks(df, keys, block_expr, blocks)
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order_cols)
+    rows = base.select("*", F.row_number().over(w).alias("_i"), *[F.sum(c).over(w.rowsBetween(-carried, 0)).alias(f"_w_{c}") for c in sum_cols])
+    if carried:
+        # the last k - 1 rows of a block, last one first
+        back = F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*[_reverse(c) for c in order_cols]))
+        tails = base.select(*keys, "_blk", *sum_cols, back.alias("_back")).where(F.col("_back") <= carried)
+        tail = F.array_sort(F.collect_list(F.struct("_back", *[F.col(c).alias(f"_x_{c}") for c in sum_cols])))
+        tails = tails.groupBy(*keys, "_blk").agg(tail.alias("_tail"))
+        per_block = base.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+        joined = _null_safe_join(per_block, tails, [*keys, "_blk"])
+        summaries = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", "_n", "_tail"))).alias("_a"))
+
+        def carry(a: Column, i: Column) -> Column:
+            # blocks hold a row at least, so k - 1 blocks before this one are enough
+            start = F.greatest(F.lit(1), i + 1 - carried)
+            near = F.reverse(F.slice(a, start, i + 1 - start))
+            return F.slice(F.flatten(F.transform(near, lambda x: x["_tail"])), F.lit(1), F.lit(carried))
+
+        offsets = _per_block(summaries, keys, _first=_before("_n", "bigint"), _carry=carry)
+    else:
+        offsets = _per_block(_summaries(base, keys, _n=F.count(F.lit(1))), keys, _first=_before("_n", "bigint"))
+    out = _attach(rows, offsets, keys)
+    sums = []
     for c in sum_cols:
-        out = out.withColumn("win_" + c, F.col("cum_" + c) - F.coalesce(F.col("_p_" + c), F.lit(0)))
-    out = out.withColumn("fill", F.least(F.col("rn"), F.lit(k)))
-    out = out.drop(*["_p_" + c for c in sum_cols])
-    return out.drop("_all") if tmp_key else out
+        inside = F.col(f"_w_{c}")
+        if carried:
+            kind = _kind(df, c)
+            # row i of a block needs the last k - i rows before the block
+            needed = F.slice("_carry", F.lit(1), F.greatest(F.lit(0), F.lit(k) - F.col("_i")))
+            inside = F.when(F.col("_i") < k, inside + F.aggregate(needed, F.lit(0).cast(kind), lambda s, x: s + F.coalesce(x[f"_x_{c}"], F.lit(0)).cast(kind))) \
+                .otherwise(inside)
+        sums.append(inside.alias(f"win_{c}"))
+    rn = (F.col("_first") + F.col("_i")).cast("long")
+    return out.select(*df.columns, rn.alias("rn"), F.least(rn, F.lit(k)).alias("fill"), *sums)
+
+
+def _reverse(c: Column) -> Column:
+    """The opposite sort order of an order column."""
+    text = str(c)
+    if "DESC" in text:
+        raise ValueError("trailing windows need ascending order columns")
+    return c.desc()
 
 
 def runs_of_true(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column], cond_col: str,
-                 time_col: str, block_expr: Column | None = None, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                 time_col: str, block_expr: Column | None = None, blocks: int | None = None) -> DataFrame:
     """Gaps and islands: for every row where ``cond_col`` is true, ``run_start`` = the
     ``time_col`` of the first row of its uninterrupted run of true rows (NULL when false).
-    Rows of one run share the running count of false rows, so the start is a grouped min."""
+
+    Inside a block the start is the latest true row whose predecessor is false; a run that is
+    open at a block's start began in an earlier block, found by folding over the summaries."""
     keys = list(keys)
-    tmp_key = not keys
-    if tmp_key:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    flagged = df.withColumn("_false", F.when(F.col(cond_col), 0).otherwise(1))
-    cum = running_totals(flagged, keys, order_cols, ["_false"], block_expr=block_expr, blocks=blocks)
-    starts = (cum.filter(F.col(cond_col)).groupBy(*keys, "cum__false")
-              .agg(F.min(time_col).alias("run_start")))
-    out = (cum.join(starts, keys + ["cum__false"], "left")
-           .withColumn("run_start", F.when(F.col(cond_col), F.col("run_start")))
-           .drop("_false", "cum__false"))
-    return out.drop("_all") if tmp_key else out
+    order_cols, block_expr = _order(order_cols, block_expr)
+    base = with_blocks(df, keys, block_expr, blocks).withColumn("_c", F.coalesce(F.col(cond_col), F.lit(False)))
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order_cols)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = base.select("*", F.row_number().over(w).alias("_i"), F.coalesce(F.lag("_c").over(w), F.lit(False)).alias("_p"))
+    marked = marked.select("*", F.last(F.when(F.col("_c") & ~F.col("_p"), F.col(time_col)), ignorenulls=True).over(upto).alias("_own"),
+                           F.min(F.col("_c").cast("int")).over(upto).alias("_open"))
+    # of each block: whether all rows are true, and the start of the run that its last row is in
+    summaries = _summaries(marked, keys, _all=F.min("_open"), _end=F.max_by(F.when(F.col("_c"), F.col("_own")), "_i"))
+    time_type = df.schema[time_col].dataType.simpleString()
+
+    def carry(a: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(a, F.lit(1), i), F.lit(None).cast(time_type),
+                           lambda s, x: F.when(x["_all"] == 1, F.coalesce(s, x["_end"])).otherwise(x["_end"]))
+
+    out = _attach(marked, _per_block(summaries, keys, _carry=carry), keys)
+    start = F.when(F.col("_open") == 1, F.coalesce(F.col("_carry"), F.col("_own"))).otherwise(F.col("_own"))
+    return out.select(*df.columns, F.when(F.col("_c"), start).alias("run_start"))

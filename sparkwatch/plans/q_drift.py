@@ -143,25 +143,23 @@ def q_column_diff(spark, sf_dir):
 
 
 @register("feature_profile", with_clause("num_long") + """
-SELECT feature, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+SELECT side, feature, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
        round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
        round(quantile_cont(value, 0.75), 6) AS q75
-FROM num_long WHERE side = 'baseline' AND value IS NOT NULL GROUP BY feature""")
+FROM num_long WHERE value IS NOT NULL GROUP BY side, feature""")
 def q_feature_profile(spark, sf_dir):
-    """AGG-04: baseline profile (n, mean, std ddof=1, linear quartiles) per feature."""
-    b, _ = _num_sides(spark, sf_dir)
-    return profile.feature_profile(b, NUM_FEATURES)
+    """AGG-04: profile (n, mean, std ddof=1, linear quartiles) per side and feature."""
+    return profile.feature_profile(fixture_df(spark, sf_dir, "num"), NUM_FEATURES, keys=["side"])
 
 
 @register("feature_profile_phish", with_clause("phish") + ",\n" + O.phish_long_cte() + """
-SELECT feature, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+SELECT side, feature, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
        round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
        round(quantile_cont(value, 0.75), 6) AS q75
-FROM phish_long WHERE side = 'baseline' GROUP BY feature""")
+FROM phish_long GROUP BY side, feature""")
 def q_feature_profile_phish(spark, sf_dir):
-    """AGG-04 on the 30 discrete features of the feature table (NULLs dropped)."""
-    b, _ = _phish_sides(spark, sf_dir)
-    return profile.feature_profile(b, FEATURE_COLUMNS)
+    """AGG-04 on the 30 discrete features of the feature table (NULLs dropped), both sides."""
+    return profile.feature_profile(fixture_df(spark, sf_dir, "phish"), FEATURE_COLUMNS, keys=["side"])
 
 
 @register("feature_histogram", with_clause("phish") + ",\n" + O.phish_long_cte() + """
@@ -186,15 +184,15 @@ def q_class_distribution(spark, sf_dir):
 b AS (SELECT CAST(prediction AS VARCHAR) AS class, count(*) / sum(count(*)) OVER () AS p
       FROM pred WHERE ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY prediction),
 c AS (SELECT CAST(prediction AS VARCHAR) AS class, count(*) / sum(count(*)) OVER () AS p
-      FROM pred WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' AND model_version <> 'v1.2' GROUP BY prediction)
+      FROM pred WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY prediction)
 SELECT round(coalesce(sum(abs(coalesce(c.p, 0) - b.p)), 0), 6) AS class_distribution_shift,
        coalesce(sum(abs(coalesce(c.p, 0) - b.p)), 0) > 0.2 AS model_drift_detected
 FROM b LEFT JOIN c USING (class)""")
 def q_model_drift(spark, sf_dir):
     """DRF-07: prediction-class share shift, baseline = first half of January,
-    current = second half excluding model v1.2."""
+    current = second half."""
     pred = fixture_df(spark, sf_dir, "pred")
     cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     b = pred.filter(F.col("ts") < cut)
-    c = pred.filter((F.col("ts") >= cut) & (F.col("model_version") != "v1.2"))
+    c = pred.filter(F.col("ts") >= cut)
     return drift.model_drift(b, c)
