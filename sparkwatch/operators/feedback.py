@@ -8,10 +8,11 @@ by date and model version so readers prune):
 * ``label_log``: one row per ground-truth update; the last update wins, an update for
   an unknown id changes nothing.
 
-The feedback *view* is derived: latest prediction per id (``max_by``, partial
-aggregation, no sort), latest label per id, joined on ``request_id`` (both sides are
-already hash-partitioned by the id after their aggregation) keeping the label only if
-it is not older than the prediction it would update.
+The feedback *view* is derived: latest prediction per id (``max_by`` of a struct, combined
+before the shuffle; Spark plans it as a sort aggregate, as the buffer isn't of fixed width),
+latest label per id, joined on ``request_id`` (both sides are already hash-partitioned by the
+id after their aggregation) keeping the label only if it is not older than the prediction it
+would update.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import safe_div
+from ..session import cut_lineage
 
 PREDICTION_COLS = ["request_id", "ts", "prediction", "features", "model_version", "confidence"]
 FEATURES_MAP = T.MapType(T.StringType(), T.DoubleType())
@@ -32,6 +34,8 @@ EXPORT_MIN_SAMPLES = 100
 TRIGGER_MIN_LABELED = 1000
 TRIGGER_ACCURACY = 0.75
 # ---- end fixed values ----
+#: Map key of records without a model version.
+NO_VERSION = "<none>"
 
 
 def _latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -74,10 +78,10 @@ def unmatched_feedback(pred_log: DataFrame, label_log: DataFrame) -> DataFrame:
 
 
 def labeled_data(view: DataFrame, start=None, end=None, model_version: str | None = None,
-                 limit: int | None = None, parse: bool = True) -> DataFrame:
+                 limit: int | None = None, parse: bool = True, newest_first: bool = False) -> DataFrame:
     """FBK-04: labeled rows (FLT-03), optional inclusive time range (FLT-04) and version
-    (FLT-05), newest first (SRT-01), at most ``limit`` rows (TOP-01; 0/None = all),
-    features parsed to a map (PRJ-05)."""
+    (FLT-05), newest first where asked for (SRT-01), at most ``limit`` rows, the newest
+    (TOP-01; 0/None = all), features parsed to a map (PRJ-05)."""
     df = view.filter(F.col("actual_label").isNotNull())
     if start is not None:
         df = df.filter(F.col("timestamp") >= F.lit(start).cast(view.schema["timestamp"].dataType))
@@ -88,10 +92,9 @@ def labeled_data(view: DataFrame, start=None, end=None, model_version: str | Non
     feats = parse_features(F.col("features")) if parse else F.col("features")
     df = df.select("request_id", "timestamp", "prediction", "actual_label", feats.alias("features"),
                    "model_version", "confidence")
-    df = df.orderBy(F.col("timestamp").desc(), F.col("request_id"))
-    if limit:
-        df = df.limit(int(limit))
-    return df
+    if limit or newest_first:
+        df = df.orderBy(F.col("timestamp").desc(), F.col("request_id"))
+    return df.limit(int(limit)) if limit else df
 
 
 def parse_features(c: Column) -> Column:
@@ -104,17 +107,10 @@ def serialize_features(c: Column) -> Column:
     return F.to_json(c)
 
 
-def feature_keys(df: DataFrame, map_col: str = "features") -> list[str]:
-    """Distinct keys of a map column (schema discovery: bounded by the feature count)."""
-    keys = df.select(F.explode(F.map_keys(map_col)).alias("k")).distinct().orderBy("k")
-    return [r.k for r in keys.collect()]
-
-
-def expand_features(df: DataFrame, keys: Sequence[str] | None = None, map_col: str = "features",
+def expand_features(df: DataFrame, keys: Sequence[str], map_col: str = "features",
                     label_col: str | None = "actual_label", target: str = "Result") -> DataFrame:
-    """PRJ-07: one column per map key (absent key -> NULL) plus the label as ``target``."""
-    if keys is None:
-        keys = feature_keys(df, map_col)
+    """PRJ-07: one column per declared key (absent key -> NULL; keys that aren't declared are
+    left out) plus the label as ``target``."""
     cols = [F.col(map_col)[k].alias(k) for k in keys]
     if label_col:
         cols.append(F.col(label_col).alias(target))
@@ -150,15 +146,20 @@ def feedback_accuracy(view: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                                  F.count("actual_label").alias("labeled_records"))
 
 
+def _version_key(c: str) -> Column:
+    """A map key for a version that may be NULL; the text 'null' keeps a key of its own."""
+    return F.when(F.col(c).isNull(), F.lit(NO_VERSION)).otherwise(F.col(c))
+
+
 def feedback_stats(view: DataFrame) -> DataFrame:
-    """FBK-05: one row with totals, accuracy and the per-version record map."""
+    """FBK-05: one row with totals, accuracy and the per-version record map, in version order."""
     hit = F.when(F.col("actual_label").isNotNull() & (F.col("prediction") == F.col("actual_label")), 1).otherwise(0)
     per_v = view.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"), F.count("actual_label").alias("l"),
                                               F.sum(hit).alias("h"))
     return (per_v.agg(F.sum("n").cast("long").alias("total_records"),
                       F.sum("l").cast("long").alias("labeled_records"),
                       F.try_divide(F.sum("h").cast("double"), F.sum("l").cast("double")).alias("accuracy"),
-                      F.map_from_entries(F.collect_list(F.struct(F.coalesce("model_version", F.lit("null")), "n")))
+                      F.map_from_entries(F.array_sort(F.collect_list(F.struct(_version_key("model_version"), "n"))))
                       .alias("records_by_version"))
             .select(F.coalesce("total_records", F.lit(0)).alias("total_records"),
                     F.coalesce("labeled_records", F.lit(0)).alias("labeled_records"),
@@ -187,12 +188,12 @@ def should_trigger_retraining(stats: DataFrame, min_new_samples: int = TRIGGER_M
                         (by_n | by_acc).alias("should_retrain"), reason.alias("reason"))
 
 
-def export_for_retraining(view: DataFrame, min_samples: int = EXPORT_MIN_SAMPLES,
-                          keys: Sequence[str] | None = None, output_path: str | None = None,
-                          fmt: str = "csv") -> DataFrame | None:
+def export_for_retraining(view: DataFrame, keys: Sequence[str], min_samples: int = EXPORT_MIN_SAMPLES,
+                          output_path: str | None = None, fmt: str = "csv") -> DataFrame | None:
     """FBK-06: with at least ``min_samples`` labeled rows, the expanded feature table
-    (+ Result); written to ``output_path`` when given. None when there are too few."""
-    lab = labeled_data(view, parse=True)
+    (+ Result); written to ``output_path`` when given. None when there are too few. The
+    labeled rows are computed once, for the count and the table."""
+    lab = cut_lineage(labeled_data(view, parse=True).select("features", "actual_label"))
     n = lab.count()  # one metric row reaches the driver
     if n < min_samples:
         return None

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import recode_label
+from ..session import cut_lineage
 from .feedback import expand_features, labeled_data, should_trigger_retraining
 
 # ---- fixed values: retraining defaults ----
@@ -22,12 +23,14 @@ WINDOW_DAYS = 90
 MIN_TRAIN_SAMPLES = 1000
 MAX_RETRAIN_FREQUENCY_HOURS = 24
 MANUAL_MIN_LABELED = 100
+LEAST_SAMPLES = 100
+LEAST_WINDOW_DAYS = 7
 STRATEGIES = ("full", "incremental", "windowed")
 TRIGGERS = ("scheduled", "drift_based", "data_based", "manual")
 # ---- end fixed values ----
 
 
-def feedback_rows(view: DataFrame, keys: Sequence[str] | None, since=None, target: str = "Result") -> DataFrame:
+def feedback_rows(view: DataFrame, keys: Sequence[str], since=None, target: str = "Result") -> DataFrame:
     """Labeled feedback expanded to feature columns (+ target, 0/1), optionally newer than ``since``."""
     lab = labeled_data(view, start=None, parse=True)
     if since is not None:
@@ -36,15 +39,14 @@ def feedback_rows(view: DataFrame, keys: Sequence[str] | None, since=None, targe
         .withColumn(target, recode_label(target).cast("long"))
 
 
-def retrain_full(original: DataFrame, view: DataFrame, keys: Sequence[str] | None = None,
-                 target: str = "Result") -> DataFrame:
+def retrain_full(original: DataFrame, view: DataFrame, keys: Sequence[str], target: str = "Result") -> DataFrame:
     """RET-01: original (target recoded -1 -> 0) UNION ALL labeled feedback, by column name."""
     orig = original.withColumn(target, recode_label(target).cast("long"))
     fb = feedback_rows(view, keys, target=target)
     return orig.unionByName(fb, allowMissingColumns=True)
 
 
-def retrain_incremental(original: DataFrame, view: DataFrame, since=None, keys: Sequence[str] | None = None,
+def retrain_incremental(original: DataFrame, view: DataFrame, keys: Sequence[str], since=None,
                         target: str = "Result") -> DataFrame:
     """RET-02: original plus only the feedback newer than the last run (``since``);
     ``since=None`` is the full set."""
@@ -52,11 +54,12 @@ def retrain_incremental(original: DataFrame, view: DataFrame, since=None, keys:
     return orig.unionByName(feedback_rows(view, keys, since=since, target=target), allowMissingColumns=True)
 
 
-def retrain_windowed(original: DataFrame, view: DataFrame, as_of, window_days: int = WINDOW_DAYS,
-                     min_train_samples: int = MIN_TRAIN_SAMPLES, keys: Sequence[str] | None = None,
-                     target: str = "Result") -> tuple[DataFrame, str]:
+def retrain_windowed(original: DataFrame, view: DataFrame, keys: Sequence[str], as_of, window_days: int = WINDOW_DAYS,
+                     min_train_samples: int = MIN_TRAIN_SAMPLES, target: str = "Result") -> tuple[DataFrame, str]:
     """RET-03: labeled feedback from the last ``window_days`` before ``as_of``; with fewer
-    than ``min_train_samples`` rows falls back to the full set. Returns (frame, strategy used)."""
+    than ``min_train_samples`` rows falls back to the full set. Returns (frame, strategy used).
+    The labeled rows are computed once, for the count and the set."""
+    view = cut_lineage(view.filter(F.col("actual_label").isNotNull()))
     tcol = view.schema["timestamp"].dataType
     cutoff = F.lit(as_of).cast(tcol) - F.expr(f"INTERVAL {int(window_days)} DAYS")
     lab = labeled_data(view, parse=True).filter(F.col("timestamp") >= cutoff)
@@ -68,6 +71,18 @@ def retrain_windowed(original: DataFrame, view: DataFrame, as_of, window_days: i
     return out, "windowed"
 
 
+def check_bounds(min_samples: int | None = None, accuracy_threshold: float | None = None,
+                 drift_threshold: float | None = None, window_days: int | None = None) -> None:
+    """Retraining parameters outside their bounds are an error."""
+    if min_samples is not None and min_samples < LEAST_SAMPLES:
+        raise ValueError(f"the least number of samples must be {LEAST_SAMPLES} or more, not {min_samples}")
+    for name, value in (("accuracy", accuracy_threshold), ("drift", drift_threshold)):
+        if value is not None and not 0 < value < 1:
+            raise ValueError(f"the {name} threshold must lie between 0 and 1, not be {value}")
+    if window_days is not None and window_days < LEAST_WINDOW_DAYS:
+        raise ValueError(f"the window must be {LEAST_WINDOW_DAYS} days or more, not {window_days}")
+
+
 def frequency_guard(runs: DataFrame, as_of, max_hours: int = MAX_RETRAIN_FREQUENCY_HOURS,
                     ts_col: str = "run_ts") -> DataFrame:
     """RET-04: one row (last_run_ts, hours_since, allowed): blocked iff the last run is
@@ -140,9 +155,13 @@ def append_run(runs_path: str, spark, run_ts, trigger_type: str, reason: str, st
 
 
 def data_version(df: DataFrame) -> DataFrame:
-    """RET-09: order-free content fingerprint: row count, sum of the 64-bit row hashes and
-    sum of squared hash residues; independent of row order and partitioning."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    """RET-09: order-free content fingerprint (n_rows, hash_sum, hash_xor): each row is hashed as
+    text with every column's position, and a mark of its own for NULL, and the hashes are added
+    up; independent of row order and partitioning."""
+    parts = [F.concat(F.lit(f"{i}="), F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")))
+             for i, c in enumerate(df.columns)]
+    h = F.md5(F.concat_ws("|", *parts))
+    number = lambda start: F.conv(F.substring(h, start, 15), 16, 10).cast("long")
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"),
-                  F.sum((h % 1000003).cast("decimal(38,0)") * (h % 1000003)).cast("string").alias("hash_sq"))
+                  F.sum(number(1).cast("decimal(38,0)")).cast("string").alias("hash_sum"),
+                  F.bit_xor(number(16)).alias("hash_xor"))

@@ -12,7 +12,7 @@ from ..operators import metrics as M
 from ..operators import retrain as R
 from ..operators.ranking import running_totals
 from ..schema import FEATURE_COLUMNS
-from .registry import register
+from .registry import entries_text, register
 
 # DuckDB twin of the feedback view: latest prediction per id, latest label per id,
 # label attached only if not older than the prediction.
@@ -32,6 +32,8 @@ lab AS (SELECT * FROM fv WHERE actual_label IS NOT NULL)
 FV = with_clause("pred", "fb").rstrip() + "," + FV_DERIVED
 
 AS_OF = "2024-02-01 00:00:00"
+#: Declared keys of the stored feature payloads.
+FEEDBACK_KEYS = ["k"]
 
 
 def view(spark, sf_dir):
@@ -95,8 +97,7 @@ def q_labeled_recent(spark, sf_dir):
     counts (blocked on time), not a single-partition window."""
     lab = FB.labeled_data(view(spark, sf_dir), parse=False).select("request_id", "timestamp").withColumn("one", F.lit(1))
     neg_ts = -F.unix_micros(F.col("timestamp").cast("timestamp"))
-    ranked = running_totals(lab.withColumn("_k", F.lit(0)), ["_k"], [F.col("timestamp").desc(), F.col("request_id")],
-                            ["one"], block_expr=neg_ts.cast("double"))
+    ranked = running_totals(lab, [], [F.col("timestamp").desc(), F.col("request_id")], ["one"], block_expr=neg_ts.cast("double"))
     return ranked.select("request_id", "timestamp", F.col("cum_one").cast("long").alias("recency_rank"))
 
 
@@ -136,9 +137,9 @@ def q_serialize_features(spark, sf_dir):
 @register("expand_features", FV + """SELECT CAST(json_extract(features, '$.k') AS DOUBLE) AS k,
        actual_label AS Result FROM lab""")
 def q_expand_features(spark, sf_dir):
-    """PRJ-07: feature map -> one column per key (keys discovered), plus Result."""
+    """PRJ-07: feature map -> one column per declared key, plus Result."""
     lab = FB.labeled_data(view(spark, sf_dir))
-    return FB.expand_features(lab)
+    return FB.expand_features(lab, FEEDBACK_KEYS)
 
 
 @register("recode_label", with_clause("phish") + """
@@ -193,14 +194,15 @@ st AS (SELECT count(*) AS total_records, count(actual_label) AS labeled_records,
 
 
 @register("feedback_stats", FV + "," + STATS_SQL + """,
-bv AS (SELECT map_from_entries(list(struct_pack(k := model_version, v := n))) AS records_by_version
+bv AS (SELECT list(model_version || '=' || n ORDER BY model_version) AS records_by_version
        FROM (SELECT model_version, count(*) AS n FROM fv GROUP BY model_version))
 SELECT total_records, labeled_records, total_records - labeled_records AS unlabeled_records,
        round(labeled_records / total_records, 6) AS labeling_rate, round(accuracy, 6) AS accuracy,
        records_by_version FROM st, bv""")
 def q_feedback_stats(spark, sf_dir):
     """FBK-05: one-row statistics with the per-version record map."""
-    return FB.feedback_stats(view(spark, sf_dir))
+    stats = FB.feedback_stats(view(spark, sf_dir))
+    return stats.withColumn("records_by_version", entries_text("records_by_version", "%d"))
 
 
 def _trigger_sql(min_n: int, thr: float) -> str:
@@ -229,7 +231,7 @@ def q_should_trigger_count(spark, sf_dir):
        actual_label AS Result FROM lab WHERE (SELECT count(*) FROM lab) >= 100""")
 def q_export_for_retraining(spark, sf_dir):
     """FBK-06: gated export (>= 100 labeled rows) of the expanded feedback table."""
-    out = FB.export_for_retraining(view(spark, sf_dir), min_samples=100)
+    out = FB.export_for_retraining(view(spark, sf_dir), FEEDBACK_KEYS, min_samples=100)
     if out is None:
         return spark.createDataFrame([], "k double, Result int")
     return out
@@ -259,14 +261,14 @@ def _fb_rows_sql(where: str = "") -> str:
 @register("retrain_full", FV.rstrip() + ",\n" + with_clause("phish")[5:] + f"{_ORIG}\nUNION ALL\n{_fb_rows_sql()}")
 def q_retrain_full(spark, sf_dir):
     """RET-01: original table (labels -> 0/1) UNION ALL labeled feedback by column name."""
-    return R.retrain_full(_original(spark, sf_dir), view(spark, sf_dir))
+    return R.retrain_full(_original(spark, sf_dir), view(spark, sf_dir), FEEDBACK_KEYS)
 
 
 @register("retrain_incremental", FV.rstrip() + ",\n" + with_clause("phish")[5:]
           + f"{_ORIG}\nUNION ALL\n{_fb_rows_sql(chr(10) + 'WHERE timestamp > TIMESTAMP ' + repr('2024-01-20 00:00:00'))}")
 def q_retrain_incremental(spark, sf_dir):
     """RET-02: original plus feedback newer than the last run (2024-01-20)."""
-    return R.retrain_incremental(_original(spark, sf_dir), view(spark, sf_dir), since="2024-01-20 00:00:00")
+    return R.retrain_incremental(_original(spark, sf_dir), view(spark, sf_dir), FEEDBACK_KEYS, since="2024-01-20 00:00:00")
 
 
 @register("retrain_windowed", FV + f"""SELECT CAST(json_extract(features, '$.k') AS DOUBLE) AS k,
@@ -274,7 +276,7 @@ def q_retrain_incremental(spark, sf_dir):
 FROM lab WHERE "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAYS""")
 def q_retrain_windowed(spark, sf_dir):
     """RET-03: labeled feedback of the last 90 days (enough rows, no fallback)."""
-    out, _ = R.retrain_windowed(_original(spark, sf_dir), view(spark, sf_dir), as_of=AS_OF, window_days=90)
+    out, _ = R.retrain_windowed(_original(spark, sf_dir), view(spark, sf_dir), FEEDBACK_KEYS, as_of=AS_OF, window_days=90)
     return out
 
 
@@ -282,7 +284,7 @@ def q_retrain_windowed(spark, sf_dir):
           + f"{_ORIG}\nUNION ALL\n{_fb_rows_sql()}")
 def q_retrain_windowed_fallback(spark, sf_dir):
     """RET-03: a 2-day window holds fewer than 1,000 labels, so the full set is used."""
-    out, _ = R.retrain_windowed(_original(spark, sf_dir), view(spark, sf_dir), as_of=AS_OF, window_days=2)
+    out, _ = R.retrain_windowed(_original(spark, sf_dir), view(spark, sf_dir), FEEDBACK_KEYS, as_of=AS_OF, window_days=2)
     return out
 
 
@@ -348,10 +350,20 @@ def q_retrain_run_log(spark, sf_dir):
     return R.last_run(fixture_df(spark, sf_dir, "runs"), by=["trigger_type"])
 
 
-@register("data_version")
+_VERSION_COLS = [*FEATURE_COLUMNS, "Result"]
+_ROW_TEXT = " || '|' || ".join(f"'{i}=' || coalesce('v' || CAST({c} AS VARCHAR), 'n')" for i, c in enumerate(_VERSION_COLS))
+
+
+@register("data_version", FV.rstrip() + ",\n" + with_clause("phish")[5:].rstrip() + f""",
+u AS ({_ORIG}
+UNION ALL
+{_fb_rows_sql()}),
+h AS (SELECT md5({_ROW_TEXT} || '|{len(_VERSION_COLS)}=' || coalesce('v' || CAST(k AS VARCHAR), 'n')) AS h FROM u)
+SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(h, 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR) AS hash_sum,
+       bit_xor(('0x' || substr(h, 16, 15))::BIGINT) AS hash_xor FROM h""")
 def q_data_version(spark, sf_dir):
-    """RET-09: order-free fingerprint of the full retraining set (rows-only check)."""
-    return R.data_version(R.retrain_full(_original(spark, sf_dir), view(spark, sf_dir)))
+    """RET-09: order-free fingerprint of the full retraining set."""
+    return R.data_version(R.retrain_full(_original(spark, sf_dir), view(spark, sf_dir), FEEDBACK_KEYS))
 
 
 # ------------------------------------------------------------------ metrics and gates

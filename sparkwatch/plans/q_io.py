@@ -239,9 +239,9 @@ _FILLED = ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), m_{c}), 6) AS {c}" for
 
 @register("mean_impute", with_clause("phish") + f""",
 m AS (SELECT {_MEANS} FROM phish WHERE side = 'baseline')
-SELECT row_key, {_FILLED} FROM phish, m WHERE side = 'current'""")
+SELECT row_key, {_FILLED} FROM phish, m""")
 def q_mean_impute(spark, sf_dir):
-    """ML-02: column means fit on the baseline split fill the current split."""
+    """ML-02: column means fit on the baseline split fill both splits."""
     ph = fixture_df(spark, sf_dir, "phish")
-    out = impute.mean_impute(ph.filter("side = 'baseline'"), ph.filter("side = 'current'"), FEATURE_COLUMNS)
+    out = impute.mean_impute(ph.filter("side = 'baseline'"), ph, FEATURE_COLUMNS)
     return out.select("row_key", *FEATURE_COLUMNS)

@@ -12,7 +12,7 @@ from ..operators import monitor as MO
 from ..schema import FEATURE_COLUMNS
 from . import oracle_sql as O
 from .q_feedback import FV, FV_DERIVED, view
-from .registry import register
+from .registry import entries_text, register
 
 CUT = "2024-01-16 00:00:00"
 STEP_US = 6 * 3600 * 1_000_000
@@ -89,7 +89,8 @@ def _report_sql() -> str:
     return with_clause("pred", "fb", "phish").rstrip() + "," + FV_DERIVED.rstrip() + ",\n" + O.phish_long_cte() + "," + \
         psi[len(O.phish_prelude()) + 1:].replace("\nSELECT tot.feature", "\n, psi_out AS (SELECT tot.feature", 1) + f"""),
 dd AS (SELECT coalesce(bool_or(score > 0.2), false) AS data_drift_detected,
-              map_from_entries(list(struct_pack(k := feature, v := score))) AS feature_drift_scores FROM psi_out),
+              list(feature || '=' || coalesce(printf('%.6f', score), 'null') ORDER BY feature) AS feature_drift_scores,
+              list(feature || '=psi' ORDER BY feature) AS feature_drift_type FROM psi_out),
 pb AS (SELECT CAST(prediction AS VARCHAR) AS class, count(*) / sum(count(*)) OVER () AS p
        FROM pred WHERE ts < TIMESTAMP '{CUT}' GROUP BY prediction),
 pc AS (SELECT CAST(prediction AS VARCHAR) AS class, count(*) / sum(count(*)) OVER () AS p
@@ -100,7 +101,7 @@ rg AS (SELECT avg(CASE WHEN prediction = actual_label THEN 1.0::DOUBLE ELSE 0.0:
               row_number() OVER (ORDER BY "timestamp", request_id) AS rn FROM lab),
 cd AS (SELECT coalesce(bool_or(0.85 - r > 0.1), false) AS concept, arg_max(r, rn) AS last_r FROM rg)
 SELECT TIMESTAMP '2024-02-01 00:00:00' AS "timestamp", data_drift_detected, md.shift > 0.2 AS model_drift_detected,
-       cd.concept AS concept_drift_detected, feature_drift_scores, round(md.shift, 6) AS class_distribution_shift,
+       cd.concept AS concept_drift_detected, feature_drift_scores, feature_drift_type, round(md.shift, 6) AS class_distribution_shift,
        round(cd.last_r, 6) AS rolling_accuracy, round(0.85 - cd.last_r, 6) AS accuracy_drop,
        list_filter([CASE WHEN data_drift_detected THEN '{MO.RECOMMEND_DATA}' END,
                     CASE WHEN md.shift > 0.2 THEN '{MO.RECOMMEND_MODEL}' END,
@@ -117,8 +118,10 @@ def q_drift_report(spark, sf_dir):
     (first vs second half of January) and concept drift over all labeled pairs."""
     ph = fixture_df(spark, sf_dir, "phish")
     b, c = _pred_sides(spark, sf_dir)
-    return MO.drift_report(ph.filter("side = 'baseline'"), ph.filter("side = 'current'"), FEATURE_COLUMNS,
-                           b, c, pairs=view(spark, sf_dir), as_of="2024-02-01 00:00:00")
+    report = MO.drift_report(ph.filter("side = 'baseline'"), ph.filter("side = 'current'"), FEATURE_COLUMNS,
+                             b, c, pairs=view(spark, sf_dir), as_of="2024-02-01 00:00:00")
+    return report.withColumns({"feature_drift_scores": entries_text("feature_drift_scores", "%.6f"),
+                               "feature_drift_type": entries_text("feature_drift_type", "%s")})
 
 
 # ------------------------------------------------------------------ metric series
@@ -228,13 +231,16 @@ gj AS (SELECT grid.*, per.* EXCLUDE ({kk}, slot) FROM grid LEFT JOIN per USING (
 ERR_THR = 20 / 86400
 
 
-@register("alert_error_rate", with_clause("pred") + "," + _grid_sql(["model_version"], "pred WHERE error_type IS NOT NULL",
-                                                                     "count(*) AS n", K_DAY) + f""",
+def alert_error_sql() -> str:
+    return with_clause("pred") + "," + _grid_sql(["model_version"], "pred WHERE error_type IS NOT NULL", "count(*) AS n", K_DAY) + f""",
 ev AS (SELECT model_version, make_timestamp((slot + 1) * {STEP_US}) AS eval_ts,
               sum(coalesce(n, 0)) OVER (PARTITION BY model_version ORDER BY slot ROWS {K_DAY - 1} PRECEDING) / 86400.0
                 AS rate FROM gj),
-evc AS (SELECT *, rate > {ERR_THR} AS condition FROM ev),""" + _state_sql("evc", ["model_version"], "eval_ts",
-                                                                       12 * 3600 * 1_000_000, "eval_ts, round(rate, 6) AS rate"))
+evc AS (SELECT *, rate > {ERR_THR} AS condition FROM ev),""" + _state_sql(
+        "evc", ["model_version"], "eval_ts", 12 * 3600 * 1_000_000, "eval_ts, round(rate, 6) AS rate")
+
+
+@register("alert_error_rate", alert_error_sql())
 def q_alert_error_rate(spark, sf_dir):
     """ALR-01: error rate over a trailing 1-day window every 6 hours > 20/day, held 12 hours."""
     return MO.alert_error_rate(fixture_df(spark, sf_dir, "pred"), threshold=ERR_THR, window="1 day",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,12 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def entries_text(column: str, form: str) -> Column:
+    """A map column as sorted 'key=value' texts: maps have no order of their own to compare by."""
+    text = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.format_string(form, e["value"]), F.lit("null")))
+    return F.transform(F.array_sort(F.map_entries(column)), text).alias(column)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:

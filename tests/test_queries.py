@@ -17,7 +17,7 @@ def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
     if isinstance(v, dict):
-        return tuple(sorted((k, _norm(x)) for k, x in v.items()))
+        return tuple((k, _norm(x)) for k, x in v.items())  # in the order they are stored
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return str(v) if v is not None and not isinstance(v, (int, str, bool)) else v
