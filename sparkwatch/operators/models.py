@@ -112,6 +112,14 @@ class _Chained:
         return self.model.transform(self.pre.transform(df))
 
 
+def confidence(scored: DataFrame):
+    """The probability of the predicted class; NULL for models without probabilities."""
+    from pyspark.ml.functions import vector_to_array
+    if "probability" not in scored.columns:
+        return F.lit(None).cast("double")
+    return F.array_max(vector_to_array(F.col("probability")))
+
+
 def evaluate(model, df: DataFrame) -> DataFrame:
     """One-row metrics (tp/fp/fn/tn, f1, precision, recall, accuracy) of a model on ``df``."""
     return M.classification_metrics(model.transform(df), "label", "prediction")
