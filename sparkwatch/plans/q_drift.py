@@ -8,6 +8,8 @@ from ..fixtures import fixture_df, with_clause
 from ..operators import drift, profile
 from ..operators import validate as V
 from ..schema import FEATURE_COLUMNS
+from ..session import scratch_path
+from ..sources import io
 from . import oracle_sql as O
 from .registry import register
 
@@ -55,9 +57,13 @@ def q_js(spark, sf_dir):
 @register("data_drift", O.drift_flag_sql(
     O.psi_sql("phish_long", FEATURE_COLUMNS, O.phish_prelude()), "psi", 0.2))
 def q_data_drift(spark, sf_dir):
-    """DRF-06: PSI drift flags over all 30 features of the feature table."""
+    """DRF-06: PSI drift flags over all 30 features of the feature table, the baseline side stored
+    before (SNK-05) and only its counts read."""
     b, c = _phish_sides(spark, sf_dir)
-    return drift.data_drift(b, c, FEATURE_COLUMNS, method="psi")
+    path = scratch_path(spark, "drift_baseline")
+    io.baseline_store(b, FEATURE_COLUMNS, path, "v1", "2024-01-01 00:00:00", pred_col="Result")
+    counts = io.latest_baseline(spark, path)["counts"]
+    return drift.data_drift(None, c, FEATURE_COLUMNS, method="psi", baseline_counts=counts)
 
 
 @register("data_drift_ks", O.drift_flag_sql(
@@ -120,26 +126,34 @@ def q_drop_nulls(spark, sf_dir):
     return drift.to_long(ph, FEATURE_COLUMNS).groupBy("feature").agg(F.count(F.lit(1)).alias("n_present"))
 
 
-def _column_diff_sql() -> str:
-    # base = the feature table without Result; current = a scoring table that lost one
-    # feature and gained a column. The twin reads both column lists with DESCRIBE.
-    return with_clause("phish") + f""",
-b AS (SELECT column_name AS c, row_number() OVER () AS i FROM (DESCRIBE SELECT row_key, side, * EXCLUDE (row_key, side, Result) FROM phish)),
-cu AS (SELECT column_name AS c, row_number() OVER () AS i
-       FROM (DESCRIBE SELECT * EXCLUDE (Result, Statistical_report), CAST(NULL AS TIMESTAMP) AS request_ts FROM phish))
-SELECT (SELECT count(*) FROM b) AS n_base, (SELECT count(*) FROM cu) AS n_current,
-       (SELECT list(c ORDER BY i) FROM b WHERE c IN (SELECT c FROM cu)) AS common_columns,
-       coalesce((SELECT list(c ORDER BY i) FROM b WHERE c NOT IN (SELECT c FROM cu)), CAST([] AS VARCHAR[])) AS missing_in_current,
-       coalesce((SELECT list(c ORDER BY i) FROM cu WHERE c NOT IN (SELECT c FROM b)), CAST([] AS VARCHAR[])) AS missing_in_base"""
+_LOST = "Statistical_report"
+_BASE_COLUMNS = ["row_key", "side", *FEATURE_COLUMNS]
 
 
-@register("column_diff", _column_diff_sql())
+@register("column_diff", with_clause("phish") + f"""
+, f AS (SELECT unnest([{", ".join(f"'{c}'" for c in _BASE_COLUMNS)}]) AS "column"),
+n AS (SELECT * FROM (SELECT {", ".join(f"count({c})::BIGINT AS {c}" for c in _BASE_COLUMNS)} FROM phish)
+      UNPIVOT (n_values FOR "column" IN ({", ".join(_BASE_COLUMNS)})))
+SELECT f."column", CASE WHEN f."column" = '{_LOST}' THEN 'missing_in_current' ELSE 'common' END AS status, n.n_values AS n_base,
+       CASE WHEN f."column" = '{_LOST}' THEN NULL ELSE n.n_values END AS n_current FROM f JOIN n USING ("column")
+UNION ALL SELECT 'request_ts', 'missing_in_base', NULL, 0""")
 def q_column_diff(spark, sf_dir):
-    """PRJ-04: common columns, columns missing in current, columns missing in base."""
+    """PRJ-04: columns common to both tables, missing in current and missing in base, with the
+    number of values that each table holds in them."""
     ph = fixture_df(spark, sf_dir, "phish")
     base = ph.drop("Result")
-    cur = ph.drop("Result", "Statistical_report").withColumn("request_ts", F.lit(None).cast("timestamp"))
-    return V.column_diff(spark, base, cur)
+    cur = ph.drop("Result", _LOST).withColumn("request_ts", F.lit(None).cast("timestamp"))
+    diff = V.column_diff(spark, base, cur).first()
+    status = {c: "common" for c in diff["common_columns"]} | {c: "missing_in_current" for c in diff["missing_in_current"]} \
+        | {c: "missing_in_base" for c in diff["missing_in_base"]}
+
+    def held(df, name):
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias(name)) for c in df.columns])
+        return df.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+    both = held(base, "n_base").join(held(cur, "n_current"), "column", "full")
+    names = F.create_map(*[F.lit(x) for kv in status.items() for x in kv])
+    return both.select("column", names[F.col("column")].alias("status"), "n_base", "n_current")
 
 
 @register("feature_profile", with_clause("num_long") + """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixtures import fixture_df, with_clause
-from ..operators import drift, impute, profile, split
+from ..operators import drift, impute, split
 from ..operators import validate as V
 from ..schema import ALL_COLUMNS, FEATURE_COLUMNS, feature_schema
 from ..session import scratch_path
@@ -79,33 +79,51 @@ def q_validation_report_sink(spark, sf_dir):
     return spark.read.schema("column string, p_value double, drift_status string").json(path)
 
 
-@register("drift_report_sink", with_clause("num_long") + "SELECT count(DISTINCT feature) AS n_features FROM num_long")
+_DRIFT_ROWS = O.drift_flag_sql(O.ks_sql("num_long", NUM_FEATURES, O.num_prelude(), with_p=False), "ks", 0.3)
+
+
+@register("drift_report_sink", f"SELECT r.run, d.* FROM ({_DRIFT_ROWS}) d, (SELECT unnest([1, 2])::INT AS run) r")
 def q_drift_report_sink(spark, sf_dir):
-    """SNK-03: per-feature drift rows appended as JSON twice (two runs), read back and counted per run."""
+    """SNK-03: per-feature drift rows appended as JSON twice (two runs), read back in full."""
     num = fixture_df(spark, sf_dir, "num")
     rep = drift.data_drift(num.filter("side = 'baseline'"), num.filter("side = 'current'"), NUM_FEATURES, "ks")
     path = scratch_path(spark, "drift_reports")
     io.drift_report_sink(rep.withColumn("run", F.lit(1)), path)
     io.drift_report_sink(rep.withColumn("run", F.lit(2)), path)
-    back = spark.read.schema("feature string, method string, score double, threshold double, drift boolean, "
-                             "status string, run int").json(path)
-    return back.groupBy("run").agg(F.countDistinct("feature").alias("n_features")).filter("run = 2").select("n_features")
-
-
-@register("baseline_store", with_clause("num_long") + """
-SELECT 'v9' AS model_version, feature, count(*) AS n, round(avg(value), 6) AS mean,
-       round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.25), 6) AS q25,
-       round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75
-FROM num_long WHERE side = 'current' GROUP BY feature""")
+    return spark.read.schema("run int, feature string, method string, score double, threshold double, drift boolean, "
+                             "status string").json(path)
+
+
+@register("baseline_store", with_clause("num_long", "num") + """,
+cur AS (SELECT * FROM num_long WHERE side = 'current' AND value IS NOT NULL),
+pr AS (SELECT CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS p FROM num WHERE side = 'current'),
+prof AS (SELECT feature, count(*)::DOUBLE AS n, avg(value) AS mean, stddev_samp(value) AS std, quantile_cont(value, 0.25) AS q25,
+                quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM cur GROUP BY feature)
+SELECT 'v9' AS model_version, 'count' AS kind, feature AS name, CAST(value AS DOUBLE) AS item, count(*)::DOUBLE AS amount FROM cur GROUP BY feature, value
+UNION ALL SELECT 'v9', stat, feature, NULL, round(amount, 6) FROM prof UNPIVOT (amount FOR stat IN (n, mean, std, q25, q50, q75))
+UNION ALL SELECT 'v9', 'class', CAST(p AS VARCHAR), NULL, round(count(*) / sum(count(*)) OVER (), 6) FROM pr GROUP BY p
+UNION ALL SELECT 'v9', 'samples', NULL, NULL, count(*)::DOUBLE FROM pr""")
 def q_baseline_store(spark, sf_dir):
-    """SNK-05: two baselines stored (v10 first, v9 later); the latest by creation time is v9."""
-    num = fixture_df(spark, sf_dir, "num")
+    """SNK-05: two baselines stored (v10 first, v9 later); the latest by creation time is v9, read
+    back in full: value counts, profile, class distribution, number of samples."""
+    num = fixture_df(spark, sf_dir, "num").withColumn("prediction", F.when(F.col("l_quantity") > 25, 1).otherwise(0))
     path = scratch_path(spark, "baselines")
-    io.baseline_store(profile.feature_profile(num.filter("side = 'baseline'"), NUM_FEATURES), path, "v10",
-                      "2024-01-01 00:00:00")
-    io.baseline_store(profile.feature_profile(num.filter("side = 'current'"), NUM_FEATURES), path, "v9",
-                      "2024-01-02 00:00:00")
-    return io.latest_baseline(spark, path).select("model_version", "feature", "n", "mean", "std", "q25", "q50", "q75")
+    io.baseline_store(num.filter("side = 'baseline'"), NUM_FEATURES, path, "v10", "2024-01-01 00:00:00")
+    io.baseline_store(num.filter("side = 'current'"), NUM_FEATURES, path, "v9", "2024-01-02 00:00:00")
+    base = io.latest_baseline(spark, path)
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    stats = F.explode(F.array(*[F.struct(F.lit(s).alias("kind"), F.col(s).cast("double").alias("amount")) for s in ("n", "mean", "std", "q25", "q50", "q75")]))
+    parts = [base["counts"].select("model_version", F.lit("count").alias("kind"), F.col("feature").alias("name"), F.col("value").alias("item"),
+                                   F.col("c").cast("double").alias("amount")),
+             base["profile"].select("model_version", "feature", stats.alias("s")).select("model_version", "s.kind", F.col("feature").alias("name"),
+                                                                                        none.alias("item"), "s.amount"),
+             base["classes"].select("model_version", F.lit("class").alias("kind"), F.col("class").alias("name"), none.alias("item"), F.col("share").alias("amount")),
+             base["samples"].select("model_version", F.lit("samples").alias("kind"), text.alias("name"), none.alias("item"),
+                                    F.col("total_samples").cast("double").alias("amount"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 _NULLS = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in FEATURE_COLUMNS)
@@ -130,30 +148,36 @@ def q_assembled_features(spark, sf_dir):
 
 # ------------------------------------------------------------------ validation
 
-def _desc_count(select_sql: str) -> str:
-    return f"(SELECT count(*) FROM (DESCRIBE {select_sql}))"
-
-
 @register("check_column_count", with_clause("phish") + f"""
-SELECT 'train' AS split, {_desc_count('SELECT * EXCLUDE (row_key, side) FROM phish')} AS n_columns, 31 AS expected,
-       {_desc_count('SELECT * EXCLUDE (row_key, side) FROM phish')} = 31 AS ok
-UNION ALL
-SELECT 'scoring', {_desc_count('SELECT * EXCLUDE (row_key, side, Result) FROM phish')}, 31,
-       {_desc_count('SELECT * EXCLUDE (row_key, side, Result) FROM phish')} = 31""")
+SELECT t.split, t.n AS n_columns, 31 AS expected, t.n = 31 AS ok, s.n_rows, s.n_values
+FROM (VALUES ('train', 31), ('scoring', 30)) AS t(split, n)
+JOIN (SELECT 'train' AS split, count(*) AS n_rows, {' + '.join(f'count({c})' for c in ALL_COLUMNS)} AS n_values FROM phish
+      UNION ALL SELECT 'scoring', count(*), {' + '.join(f'count({c})' for c in FEATURE_COLUMNS)} FROM phish) s USING (split)""")
 def q_check_column_count(spark, sf_dir):
-    """VAL-01: column count against the declared schema (train table ok, scoring table not)."""
+    """VAL-01: column count against the declared schema (train table ok, scoring table not), with
+    the rows and the non-null values that the declared columns hold."""
     ph = fixture_df(spark, sf_dir, "phish").drop("row_key", "side")
-    return V.check_column_count(spark, ph, feature_schema(), "train").unionByName(
-        V.check_column_count(spark, ph.drop("Result"), feature_schema(), "scoring"))
-
-
-@register("check_required_columns", with_clause("phish") + """
-SELECT 'scoring' AS split, ['Statistical_report'] AS missing_columns, false AS ok
-FROM (SELECT count(*) FROM (DESCRIBE SELECT * EXCLUDE (Statistical_report) FROM phish))""")
+    out = None
+    for name, df in (("train", ph), ("scoring", ph.drop("Result"))):
+        held = df.agg(F.count(F.lit(1)).alias("n_rows"), sum((F.count(c) for c in df.columns), F.lit(0).cast("long")).alias("n_values"))
+        one = V.check_column_count(spark, df, feature_schema(), name).join(F.broadcast(held.withColumn("split", F.lit(name))), "split")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("check_required_columns", with_clause("phish") + f"""
+, f AS (SELECT unnest([{', '.join(f"'{c}'" for c in FEATURE_COLUMNS)}]) AS "column"),
+n AS (SELECT * FROM (SELECT {', '.join(f'count({c})::BIGINT AS {c}' for c in FEATURE_COLUMNS if c != 'Statistical_report')} FROM phish)
+      UNPIVOT (n_values FOR "column" IN ({', '.join(c for c in FEATURE_COLUMNS if c != 'Statistical_report')})))
+SELECT f."column", n."column" IS NOT NULL AS present, coalesce(n_values, 0) AS n_values FROM f LEFT JOIN n USING ("column")""")
 def q_check_required_columns(spark, sf_dir):
-    """VAL-02: required feature columns present (a table that lost one feature)."""
+    """VAL-02: required feature columns present (a table that lost one feature), and how many
+    values each holds."""
     ph = fixture_df(spark, sf_dir, "phish").drop("Statistical_report")
-    return V.check_required_columns(spark, ph, FEATURE_COLUMNS, "scoring")
+    missing = set(V.check_required_columns(spark, ph, FEATURE_COLUMNS, "scoring").first()["missing_columns"])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c not in missing).alias("present"),
+                              (F.lit(0).cast("long") if c in missing else F.count(c)).alias("n_values")) for c in FEATURE_COLUMNS])
+    return ph.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def _string_phish(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 On a cluster the scratch folder is the one named by ``spark.checkpoint.dir`` (a shared
 filesystem / object store). Only when that setting is absent (local tests, the bench)
-do we create one ourselves.
+do we create one ourselves. Reliable checkpoints are removed when Spark is told to clean them
+(``spark.cleaner.referenceTracking.cleanCheckpoints``, set by ``build_session``) and the
+frame that reads them is gone.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,9 +43,12 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if none is set."""
+    """Return the shared checkpoint folder; create a local one only in local mode and if none
+    is set. On a cluster the setting is needed: executors don't share a local folder."""
     conf_dir = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sparkwatch-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, conf_dir)
     # RDD-level checkpoint dir (used by DataFrame.checkpoint()) follows the same setting.

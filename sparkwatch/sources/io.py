@@ -88,20 +88,43 @@ def validation_report_sink(report: DataFrame, path: str) -> str:
     return path
 
 
-def baseline_store(profile: DataFrame, path: str, model_version: str, created_at: str) -> str:
-    """SNK-05: append a baseline profile, partitioned by model_version."""
-    (profile.withColumn("created_at", F.lit(created_at).cast("timestamp"))
-     .withColumn("model_version", F.lit(model_version))
-     .write.mode("append").partitionBy("model_version").parquet(path))
+def baseline_store(df: DataFrame, features: Sequence[str], path: str, model_version: str, created_at: str,
+                   pred_col: str = "prediction") -> str:
+    """SNK-05: append the baseline of a model version, computed from its feature rows and their
+    predictions: value counts, profile, class distribution and number of samples, as tables
+    partitioned by ``model_version`` under ``path``. The counts are what drift is measured
+    against later; no row needs to be kept."""
+    from ..operators.drift import class_distribution, counts_of
+    from ..operators.profile import profile_from_counts
+
+    def put(part: DataFrame, name: str) -> None:
+        (part.withColumn("created_at", F.lit(created_at).cast("timestamp")).withColumn("model_version", F.lit(model_version))
+         .write.mode("append").partitionBy("model_version").parquet(f"{path}/{name}"))
+
+    put(counts_of(df, features), "counts")
+    stored = df.sparkSession.read.parquet(f"{path}/counts")
+    own = stored.filter((F.col("model_version") == model_version) & (F.col("created_at") == F.lit(created_at).cast("timestamp")))
+    put(profile_from_counts(own.select("feature", "value", "c")), "profile")
+    put(class_distribution(df, pred_col), "classes")
+    # the last table makes the baseline complete: readers start from it
+    put(df.agg(F.count(F.lit(1)).alias("total_samples")), "samples")
     return path
 
 
-def latest_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """SNK-05: the most recently created baseline (by ``created_at``, not by version text)."""
-    df = spark.read.parquet(path)
-    newest = df.agg(F.max_by(F.struct("model_version", "created_at"), "created_at").alias("_n")) \
-        .select(F.col("_n.model_version").alias("model_version"), F.col("_n.created_at").alias("created_at"))
-    return df.join(newest, ["model_version", "created_at"], "left_semi")
+BASELINE_TABLES = ("counts", "profile", "classes", "samples")
+
+
+def latest_baseline(spark: SparkSession, path: str, model_version: str | None = None) -> dict[str, DataFrame]:
+    """SNK-05: the tables of the most recently created baseline (by ``created_at``, not by version
+    text), or of the latest one of ``model_version``."""
+    known = spark.read.parquet(f"{path}/samples")
+    if model_version is not None:
+        known = known.filter(F.col("model_version") == model_version)
+    newest = known.agg(F.max_by(F.struct("model_version", "created_at"), "created_at").alias("n")).first()["n"]
+    if newest is None:
+        raise FileNotFoundError(f"no baseline in {path}")
+    one = (F.col("model_version") == newest["model_version"]) & (F.col("created_at") == F.lit(newest["created_at"]))
+    return {name: spark.read.parquet(f"{path}/{name}").filter(one) for name in BASELINE_TABLES}
 
 
 def assemble_features(df: DataFrame, features: Sequence[str], label_col: str | None = None,
