@@ -10,16 +10,17 @@ driver.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import recode_label
+from ..session import cut_lineage
 from . import metrics as M
-from .boost import BoostedStumps
+from .boost import BoostedStumps, BoostedStumpsModel
 from .impute import mean_imputer
+from .ranking import running_totals
 
 # ---- fixed values: candidates in their selection order (first wins ties) ----
 CANDIDATES = ["random_forest", "decision_tree", "gradient_boosting", "logistic_regression", "adaboost", "knn"]
@@ -64,27 +65,46 @@ def preprocessing_stages(features: Sequence[str]):
 class KnnVote:
     """k-NN vote as an estimator over the imputed feature columns (exact, sharded)."""
 
-    def __init__(self, k: int = 5, id_col: str = "_row_id"):
-        self.k, self.id_col = k, id_col
+    def __init__(self, k: int = 5):
+        self.k = k
 
     def fit(self, df: DataFrame) -> "KnnVoteModel":
-        return KnnVoteModel(df, self.k, self.id_col)
+        from pyspark.ml.functions import vector_to_array
+
+        # donors as rows of their own: equal vectors with equal labels are the same donor to a vote
+        donors = df.select(vector_to_array("features").alias("x"), F.col("label").cast("long").alias("label"))
+        return KnnVoteModel(donors, self.k)
 
 
 class KnnVoteModel:
-    def __init__(self, train: DataFrame, k: int, id_col: str):
-        self.train, self.k, self.id_col = train, k, id_col
+    """The donors (x, label) and k. Every distinct vector of a frame is voted on once, and the
+    vote joined back on the vector itself."""
+
+    def __init__(self, donors: DataFrame, k: int):
+        self.donors, self.k = donors, k
 
     def transform(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
         from .knn import knn_classify
-        q = df.withColumn("_q", F.monotonically_increasing_id()).withColumn("_x", vector_to_array("features"))
-        d = self.train.withColumn("_d", F.monotonically_increasing_id()).withColumn("_x", vector_to_array("features")) \
-            .withColumn("_lab", F.col("label").cast("long"))
-        pred = knn_classify(q, d, ["_x"], "_q", "_d", "_lab", k=self.k, features_are_array=True)
-        return q.join(pred.select("_q", F.col("prediction").cast("double").alias("prediction")), "_q", "left") \
-            .drop("_q", "_x")
+        q = df.withColumn("_x", vector_to_array("features"))
+        # ids are the place in the order of the vectors, so they don't depend on partitions
+        d = cut_lineage(self.donors.select(F.col("x").alias("_d"), F.col("label").alias("_lab")))
+        d = running_totals(d.withColumn("_one", F.lit(1)), [], [F.col("_d"), F.col("_lab")], ["_one"], block_expr=F.element_at("_d", 1))
+        asked = cut_lineage(q.select("_x").distinct())
+        asked = cut_lineage(running_totals(asked.withColumn("_one", F.lit(1)), [], [F.col("_x")], ["_one"], block_expr=F.element_at("_x", 1)))
+        pred = knn_classify(asked.withColumnRenamed("cum__one", "_q"), d.withColumnRenamed("cum__one", "_i").withColumnRenamed("_d", "_x"),
+                            ["_x"], "_q", "_i", "_lab", k=self.k, features_are_array=True)
+        voted = asked.join(pred, F.col("cum__one") == F.col("_q")).select("_x", F.col("prediction").cast("double").alias("prediction"))
+        return q.join(voted, "_x", "left").drop("_x")
+
+    def save(self, path: str) -> None:
+        self.donors.withColumn("k", F.lit(self.k)).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "KnnVoteModel":
+        stored = spark.read.parquet(path)
+        return cls(stored.drop("k"), int(stored.agg(F.max("k")).first()[0]))
 
 
 def fit_candidate(name: str, train: DataFrame, features: Sequence[str], seed: int = 42, **kw):
@@ -132,17 +152,21 @@ def select_best_model(train: DataFrame, test: DataFrame, features: Sequence[str]
     row per candidate with its order, train/test F1, precision and recall."""
     spark = train.sparkSession
     params = params or {}
-    train = train.cache()
+    train, test = train.cache(), test.cache()
     rows, models = [], {}
-    for order, name in enumerate(candidates):
-        model = fit_candidate(name, train, features, seed, **params.get(name, {}))
-        models[name] = model
-        tr = evaluate(model, train).first()
-        te = evaluate(model, test).first()
-        rows.append((name, order, tr["f1_score"], te["f1_score"], te["precision_score"], te["recall_score"],
-                     te["accuracy"]))
-    table = spark.createDataFrame(rows, "model string, candidate_order int, train_f1 double, f1_score double, "
-                                        "precision_score double, recall_score double, accuracy double")
+    try:
+        for order, name in enumerate(candidates):
+            model = fit_candidate(name, train, features, seed, **params.get(name, {}))
+            models[name] = model
+            tr = evaluate(model, train).first()
+            te = evaluate(model, test).first()
+            rows.append((name, order, tr["f1_score"], te["f1_score"], tr["precision_score"], te["precision_score"],
+                         tr["recall_score"], te["recall_score"], te["accuracy"]))
+    finally:
+        train.unpersist()
+        test.unpersist()
+    table = spark.createDataFrame(rows, "model string, candidate_order int, train_f1 double, f1_score double, train_precision double, "
+                                        "precision_score double, train_recall double, recall_score double, accuracy double")
     best = M.best_by_metric(table).first()["best_model"]
     return table, models, best
 
@@ -166,18 +190,70 @@ def batch_score(model, df: DataFrame, features: Sequence[str], output_path: str
     return out
 
 
+_OWN_MODELS = {"boosted_stumps": BoostedStumpsModel, "knn_vote": KnnVoteModel}
+
+
+def save_model(spark: SparkSession, model, path: str) -> None:
+    """Persists any candidate with its preprocessing; ``load_model`` reads it back."""
+    if isinstance(model, _Chained):
+        kind = next((k for k, c in _OWN_MODELS.items() if isinstance(model.model, c)), None)
+        if kind is None:
+            raise ValueError(f"a {type(model.model).__name__} can't be saved")
+        model.pre.write().overwrite().save(f"{path}/pre")
+        model.model.save(f"{path}/model")
+    else:
+        kind = "pipeline"
+        model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(kind,)], "kind string").write.mode("overwrite").json(f"{path}/kind")
+
+
+def load_model(spark: SparkSession, path: str):
+    """The model that ``save_model`` has written to ``path``."""
+    from pyspark.ml import PipelineModel
+
+    kind = spark.read.schema("kind string").json(f"{path}/kind").first()["kind"]
+    if kind == "pipeline":
+        return PipelineModel.load(f"{path}/model")
+    return _Chained(PipelineModel.load(f"{path}/pre"), _OWN_MODELS[kind].load(spark, f"{path}/model"))
+
+
+def load_current(spark: SparkSession, registry_path: str):
+    """(model_version, model) in production, from the registry."""
+    row = current_model(spark.read.parquet(registry_path)).first()
+    if row is None or row["model_version"] is None:
+        raise FileNotFoundError(f"no accepted model in {registry_path}")
+    return row["model_version"], load_model(spark, row["model_path"])
+
+
+def score_and_log(spark: SparkSession, registry_path: str, df: DataFrame, features: Sequence[str], id_col: str, log_path: str,
+                  scored_at) -> DataFrame:
+    """Scores ``df`` with the model in production and appends the predictions to the partitioned
+    prediction log: (request_id, ts, prediction, features as JSON, confidence, model_version).
+    Returns the logged rows."""
+    from ..sources.io import write_prediction_log
+
+    version, model = load_current(spark, registry_path)
+    scored = model.transform(prepare(df, features, target=None))
+    log = scored.select(F.col(id_col).cast("string").alias("request_id"), F.lit(scored_at).cast("timestamp").alias("ts"),
+                        F.col("prediction").cast("int").alias("prediction"), F.to_json(F.struct(*features)).alias("features"),
+                        confidence(scored).alias("confidence"), F.lit(version).alias("model_version"))
+    log = cut_lineage(log)
+    write_prediction_log(log, log_path)
+    return log
+
+
+def append_labels(label_log: DataFrame, path: str) -> None:
+    """Appends ground truth (request_id, label_ts, actual_label, user_feedback) to the label log."""
+    label_log.select("request_id", "label_ts", "actual_label", "user_feedback").write.mode("append").parquet(path)
+
+
 def promote_model(spark: SparkSession, model, model_dir: str, registry_path: str, model_version: str,
                   accepted: bool, f1: float, improvement: float | None, promoted_at: str | None = None) -> str:
     """ML-14: persist an accepted model and append it to the registry; a rejected model is an error."""
     if not accepted:
         raise ValueError("model was not accepted; it cannot be promoted")
     path = f"{model_dir}/{model_version}"
-    if hasattr(model, "write"):
-        model.write().overwrite().save(path)
-    else:
-        model.pre.write().overwrite().save(f"{path}/pre")
-        if hasattr(model.model, "save"):
-            model.model.save(f"{path}/model")
+    save_model(spark, model, path)
     ts = promoted_at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     spark.createDataFrame([(model_version, path, True, float(f1), improvement, ts)],
                           "model_version string, model_path string, accepted boolean, f1_score double, "
@@ -204,5 +280,9 @@ def experiment_log(spark: SparkSession, run_id: str, params: dict, metrics: dict
     return df
 
 
-def new_run_id() -> str:
-    return uuid.uuid4().hex[:12]
+def run_entries(model_name: str, row, expected_accuracy: float = M.MIN_TEST_F1, overfitting_threshold: float = M.MAX_F1_GAP) -> tuple[dict, dict]:
+    """The 3 parameters and 6 metrics of a training run, from the winner's metric row."""
+    params = {"model_name": model_name, "expected_accuracy": expected_accuracy, "overfitting_threshold": overfitting_threshold}
+    names = {"train_f1": "train_f1", "test_f1": "f1_score", "train_precision": "train_precision", "test_precision": "precision_score",
+             "train_recall": "train_recall", "test_recall": "recall_score"}
+    return params, {k: f"{row[c]:.6f}" for k, c in names.items()}

@@ -145,12 +145,22 @@ def last_run(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             .select(*by, "_r.*", "n_runs"))
 
 
+RUN_LOG = "run_ts timestamp, trigger_type string, reason string, strategy string, n_rows bigint"
+
+
+def read_runs(spark, runs_path: str) -> DataFrame:
+    """RET-08: the run log; empty before the first run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(runs_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], RUN_LOG)
+    return spark.read.schema(RUN_LOG).parquet(runs_path)
+
+
 def append_run(runs_path: str, spark, run_ts, trigger_type: str, reason: str, strategy: str, n_rows: int) -> None:
     """RET-08: append one run record to the Parquet run log."""
     if trigger_type not in TRIGGERS or strategy not in STRATEGIES:
         raise ValueError("unknown trigger type or strategy")
-    row = spark.createDataFrame([(run_ts, trigger_type, reason, strategy, int(n_rows))],
-                                "run_ts timestamp, trigger_type string, reason string, strategy string, n_rows bigint")
+    row = spark.createDataFrame([(run_ts, trigger_type, reason, strategy, int(n_rows))], RUN_LOG)
     row.write.mode("append").parquet(runs_path)
 
 

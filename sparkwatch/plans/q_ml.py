@@ -1,8 +1,8 @@
 """Registered model queries.
 
 Model fitting is not SQL-expressible: these are rows-only checks except k-NN voting on
-``embeddings`` (exact, so a brute-force DuckDB twin exists) and the experiment log.
-Training data = the baseline rows of the feature table, split 80/20 by row-key hash."""
+``embeddings`` (exact, so a brute-force DuckDB twin exists), the registry and the experiment log.
+Training data = all rows of the feature table, split 80/20 by row-key hash."""
 
 from __future__ import annotations
 
@@ -13,12 +13,13 @@ from ..operators import knn, models as ML, split
 from ..operators import metrics as M
 from ..schema import FEATURE_COLUMNS
 from ..session import cut_lineage, scratch_path
+from ..sources import io
 from .pipeline import training_pipeline
 from .registry import register
 
 
 def _train_test(spark, sf_dir):
-    ph = fixture_df(spark, sf_dir, "phish").filter("side = 'baseline'").drop("side")
+    ph = fixture_df(spark, sf_dir, "phish").drop("side")
     tr, te = split.train_test_split(ph, "row_key")
     # iterative fitting passes over the training rows many times: materialise them once
     return cut_lineage(ML.prepare(tr, FEATURE_COLUMNS)), cut_lineage(ML.prepare(te, FEATURE_COLUMNS))
@@ -101,27 +102,40 @@ def q_select_best_model(spark, sf_dir):
     return ML.apply_gates(table).withColumn("is_best", F.col("model") == best)
 
 
+def _promoted(spark, sf_dir, name: str) -> str:
+    """The registry of one promoted model."""
+    tr, te = _train_test(spark, sf_dir)
+    work = scratch_path(spark, "registry")
+    model = ML.fit_candidate(name, tr, FEATURE_COLUMNS)
+    f1 = ML.evaluate(model, te).first()["f1_score"]
+    ML.promote_model(spark, model, f"{work}/models", f"{work}/registry", "v1", True, f1, f1, "2024-01-01 00:00:00")
+    return f"{work}/registry"
+
+
 @register("batch_score")
 def q_batch_score(spark, sf_dir):
-    """ML-13: a fitted pipeline (imputation + tree) scores the current rows of the table."""
-    tr, _ = _train_test(spark, sf_dir)
-    model = ML.fit_candidate("decision_tree", tr, FEATURE_COLUMNS)
-    cur = fixture_df(spark, sf_dir, "phish").filter("side = 'current'").drop("side", "Result")
-    return ML.batch_score(model, cur, FEATURE_COLUMNS).select("row_key", "predicted_column")
+    """ML-13: the model in production, loaded from the registry, scores all rows of the table and
+    logs its predictions."""
+    registry = _promoted(spark, sf_dir, "decision_tree")
+    rows = fixture_df(spark, sf_dir, "phish").drop("side", "Result")
+    log = scratch_path(spark, "scored_log")
+    ML.score_and_log(spark, registry, rows, FEATURE_COLUMNS, "row_key", log, "2024-02-01 00:00:00")
+    return io.feedback_scan(spark, log).select("request_id", "prediction", "confidence", "model_version")
 
 
 @register("prediction_column")
 def q_prediction_column(spark, sf_dir):
     """PRJ-08: the scored table keeps every input column and appends ``predicted_column``."""
-    tr, _ = _train_test(spark, sf_dir)
-    model = ML.fit_candidate("logistic_regression", tr, FEATURE_COLUMNS)
-    cur = fixture_df(spark, sf_dir, "phish").filter("side = 'current'").drop("side", "Result")
-    return ML.batch_score(model, cur, FEATURE_COLUMNS)
+    _, model = ML.load_current(spark, _promoted(spark, sf_dir, "logistic_regression"))
+    rows = fixture_df(spark, sf_dir, "phish").drop("side", "Result")
+    return ML.batch_score(model, rows, FEATURE_COLUMNS)
 
 
-@register("promote_model")
+@register("promote_model", """
+SELECT 'v2' AS model_version, 2 AS n_promoted, true AS accepted, TIMESTAMP '2024-01-02 00:00:00' AS promoted_at""")
 def q_promote_model(spark, sf_dir):
-    """ML-14: two accepted models promoted in turn; the registry's current model is the later one."""
+    """ML-14: two accepted models promoted in turn; the registry's current model is the later one,
+    and it scores as the fitted one does (an error otherwise)."""
     tr, te = _train_test(spark, sf_dir)
     work = scratch_path(spark, "registry")
     m1 = ML.fit_candidate("decision_tree", tr, FEATURE_COLUMNS)
@@ -130,41 +144,49 @@ def q_promote_model(spark, sf_dir):
     m2 = ML.fit_candidate("logistic_regression", tr, FEATURE_COLUMNS)
     f2 = ML.evaluate(m2, te).first()["f1_score"]
     ML.promote_model(spark, m2, f"{work}/models", f"{work}/registry", "v2", True, f2, f2 - f1, "2024-01-02 00:00:00")
+    version, loaded = ML.load_current(spark, f"{work}/registry")
+    if ML.evaluate(loaded, te).first() != ML.evaluate(m2, te).first():
+        raise ValueError("the loaded model scores otherwise than the fitted one")
     reg = spark.read.parquet(f"{work}/registry")
-    return ML.current_model(reg).select("model_version", "f1_score")
+    return reg.agg(F.lit(version).alias("model_version"), F.count(F.lit(1)).cast("int").alias("n_promoted"), F.bool_and("accepted").alias("accepted"),
+                   F.max("promoted_at").cast("timestamp_ntz").alias("promoted_at"))
 
 
 def _exp_log_sql() -> str:
-    return with_clause("scored") + """,
-cc AS (SELECT count(*) FILTER (WHERE label = 1 AND challenger = 1) AS tp,
+    metrics = "\n".join(f"UNION ALL SELECT 'run-1', 'metric', '{split}_{name}', printf('%.6f', {col}) FROM m WHERE side = '{side}'"
+                        for split, side in (("train", "baseline"), ("test", "current"))
+                        for name, col in (("f1", "f1"), ("precision", "p"), ("recall", "r")))
+    return with_clause("scored") + f""",
+cc AS (SELECT side, count(*) FILTER (WHERE label = 1 AND challenger = 1) AS tp,
               count(*) FILTER (WHERE label <> 1 AND challenger = 1) AS fp,
               count(*) FILTER (WHERE label = 1 AND challenger <> 1) AS fn
-       FROM scored WHERE side = 'current'),
-m AS (SELECT 2 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM cc)
-SELECT 'run-1' AS run_id, 'param' AS kind, 'model' AS "key", 'challenger' AS value
-UNION ALL SELECT 'run-1', 'param', 'threshold', '0.5'
-UNION ALL SELECT 'run-1', 'metric', 'test_f1', printf('%.6f', f1) FROM m
-UNION ALL SELECT 'run-1', 'metric', 'test_precision', printf('%.6f', p) FROM m
-UNION ALL SELECT 'run-1', 'metric', 'test_recall', printf('%.6f', r) FROM m"""
+       FROM scored GROUP BY side),
+m AS (SELECT side, 2 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM cc)
+SELECT 'run-1' AS run_id, 'param' AS kind, 'model_name' AS "key", 'challenger' AS value
+UNION ALL SELECT 'run-1', 'param', 'expected_accuracy', '{M.MIN_TEST_F1}'
+UNION ALL SELECT 'run-1', 'param', 'overfitting_threshold', '{M.MAX_F1_GAP}'
+{metrics}"""
 
 
 @register("experiment_log", _exp_log_sql())
 def q_experiment_log(spark, sf_dir):
-    """ML-15: parameters and metrics of a run as one long (run_id, kind, key, value) table."""
-    sc = fixture_df(spark, sf_dir, "scored").filter("side = 'current'")
-    m = M.classification_metrics(sc, "label", "challenger").first()
-    return ML.experiment_log(spark, "run-1", {"model": "challenger", "threshold": 0.5},
-                             {"test_f1": f"{m['f1_score']:.6f}", "test_precision": f"{m['precision_score']:.6f}",
-                              "test_recall": f"{m['recall_score']:.6f}"})
+    """ML-15: the 3 parameters and 6 metrics of a run (baseline split as train, current as test),
+    appended to the log after an earlier run and read back."""
+    sc = fixture_df(spark, sf_dir, "scored")
+    m = {r["side"]: r for r in M.classification_metrics(M.long_predictions(sc, "label", ["challenger"], keys=["side"]), by=["side", "model"]).collect()}
+    row = {"train_f1": m["baseline"]["f1_score"], "f1_score": m["current"]["f1_score"], "train_precision": m["baseline"]["precision_score"],
+           "precision_score": m["current"]["precision_score"], "train_recall": m["baseline"]["recall_score"], "recall_score": m["current"]["recall_score"]}
+    path = scratch_path(spark, "experiments")
+    ML.experiment_log(spark, "run-0", *ML.run_entries("champion", row), path)
+    ML.experiment_log(spark, "run-1", *ML.run_entries("challenger", row), path)
+    return spark.read.parquet(path).filter("run_id = 'run-1'")
 
 
 @register("training_pipeline")
 def q_training_pipeline(spark, sf_dir):
-    """ML-16: end to end on the baseline rows: split, validate, train candidates (forest,
-    tree, logistic), gate, promote; one status row."""
-    ph = fixture_df(spark, sf_dir, "phish").filter("side = 'baseline'").drop("side")
-    res = training_pipeline(spark, ph, FEATURE_COLUMNS, "row_key",
-                            candidates=["random_forest", "decision_tree", "logistic_regression"],
-                            work_dir=scratch_path(spark, "training"))
+    """ML-16: end to end over all rows: split, validate, train the six candidates, gate, promote;
+    one status row."""
+    ph = fixture_df(spark, sf_dir, "phish").drop("side")
+    res = training_pipeline(spark, ph, FEATURE_COLUMNS, "row_key", work_dir=scratch_path(spark, "training"))
     return spark.createDataFrame([(res["status"], res.get("best_model"), res.get("model_version"))],
                                  "status string, best_model string, model_version string")
