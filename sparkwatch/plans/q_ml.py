@@ -89,7 +89,7 @@ def q_knn_impute(spark, sf_dir):
     donors = the baseline rows (checked against brute force in tests)."""
     ph = fixture_df(spark, sf_dir, "phish").withColumn("rid", F.xxhash64("row_key"))
     donors = ph.filter("side = 'baseline'")
-    out = knn.knn_impute(ph, donors, FEATURE_COLUMNS, "rid", "rid", k=3)
+    out = knn.knn_impute(ph, donors, FEATURE_COLUMNS, "row_key", "rid", k=3)
     return out.select("row_key", "side", *FEATURE_COLUMNS)
 
 
