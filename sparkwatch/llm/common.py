@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +15,18 @@ from ..session import ensure_checkpoint_dir, scratch_path, ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch, unless the session sets another number than Spark's default: texts
+#: are long, and a batch exists several times over in the JVM and the Python worker.
+BATCH_CONF, DEFAULT_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Shared scratch folder and the package on the executors; every operator calls it first."""
+    """Shared scratch folder, the package on the executors, and small Arrow batches; every
+    operator calls it first."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(BATCH_CONF) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     return spark
 
 
@@ -50,6 +61,22 @@ def partitions(rows: int, per_task: int, least: int = 1) -> int:
     return max(least, -(-int(rows) // int(per_task)))
 
 
+def release_memory() -> None:
+    """Hands freed memory of a Python worker back to the system: workers live on between stages,
+    and what they keep adds up beside the JVM's heap."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; nothing depends on it
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1_000):
+    """A batch in slices of few rows, so that few texts are Python objects at once."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def text_bytes(column: str = "text"):
     """A text column as UTF-8 bytes, null as empty, so that Python workers skip decoding."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

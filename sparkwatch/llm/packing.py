@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, prepare, require_columns
+from .common import materialize, prepare, release_memory, require_columns, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -56,7 +56,7 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
 
         encode, task, seen = encoder(path).ids, TaskContext.get().partitionId(), Counter()
         end = int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 data = encode(text.as_py()) + end
@@ -69,6 +69,7 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names[: len(columns)])
+        release_memory()
 
     return run
 

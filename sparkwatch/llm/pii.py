@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, prepare, require_columns
+from .common import free_name, prepare, release_memory, require_columns
 
 #: For tests and examples; a user passes their own secret.
 KEY = b"example key, replace it"
@@ -229,6 +229,7 @@ def mask(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         p = pseudonyms(key)
         rows = [p.mask(t) if t is not None else (None, {}) for t in texts]
+        release_memory()
         return pd.DataFrame({"text": [r[0] for r in rows]} | {f"n_{k}": [r[1].get(k, 0) for r in rows] for k in KINDS})
 
     out = free_name(docs, "masked")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, require_columns, text_bytes
+from .common import materialize, prepare, release_memory, require_columns, slices, text_bytes
 
 THRESHOLD = 0.7
 #: Share of the pooled covariance, and of the scaled identity, in a class covariance.
@@ -88,10 +88,11 @@ def statistics(data: bytes) -> list[float]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         x = np.array([statistics(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, len(STATISTICS))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+    release_memory()
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -283,6 +284,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def good(texts: pd.Series) -> pd.Series:
         x = np.array([statistics(t) for t in texts], dtype=np.float64).reshape(-1, len(STATISTICS))
+        release_memory()
         return pd.Series(model.score(x))
 
     return docs.where(good(text_bytes()) >= THRESHOLD)

@@ -21,7 +21,7 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 _RUN = re.compile(r"\s\s")
 #: Chunks that one task remembers; beyond it the memory starts anew, results are the same.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class _Spaced(dict):
