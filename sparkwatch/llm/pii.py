@@ -2,12 +2,16 @@
 
 Values are found by pattern and then validated: card numbers by the Luhn digit, IBANs by
 their check digits, calendar dates, dotted quads, social security numbers by their ranges,
-phone numbers by length. What doesn't validate is left alone. The payload of a validated value
-is a number of a finite domain; a Feistel network over the next even number of bits, keyed
-and walked until the number falls into the domain again, permutes that domain. Check digits
-are computed anew, separators, letter case and length stay. So a pseudonym has the value's
-format and validates too, equal values get equal pseudonyms in all documents, different
-values different ones, and the holder of the key can invert it (``Pseudonyms(..., undo=True)``).
+phone numbers by length. What doesn't validate is left alone, and the search goes on inside it:
+an IBAN is tried at its country's length and then at each word end, from the longest, and other
+values from the next character on. The payload of a validated value is a number of a finite
+domain; a Feistel network over the next even number of bits, keyed and walked until the number
+falls into the domain again, permutes that domain. Check digits are computed anew, separators,
+letter case and length stay. So a pseudonym has the value's format and validates too, equal
+values get equal pseudonyms in all documents, different values different ones, and the holder
+of the key can invert it (``Pseudonyms(..., undo=True)``). To invert a whole text, ``undo`` has
+to find the values again; where a word beside a pseudonym validates together with it by chance,
+it reads another value.
 
 Kinds: card, iban, date (years 1900 to 2099), ssn, phone, ip, email (all but the top-level
 domain), secret (hexadecimal strings of 32, 40 or 64 digits).
@@ -51,6 +55,13 @@ _PATTERN = re.compile(
     re.VERBOSE,
 )
 _DIGIT = re.compile(r"[0-9@]")
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29
+    ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20
+    LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29
+    PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20
+    YE30""".split()}
 
 
 def luhn(digits: str) -> int:
@@ -193,16 +204,24 @@ class Pseudonyms:
             # no number and no address; hexadecimal secrets without a digit aren't told from words
             return text, {}
         found: dict[str, int] = {}
-
-        def one(m: re.Match) -> str:
-            new = self.value(m.lastgroup if m.lastgroup in KINDS else _kind(m), m[0])
-            if new is None:
-                return m[0]
+        out, done, at = [], 0, 0
+        while m := _PATTERN.search(text, at):
             kind = _kind(m)
-            found[kind] = found.get(kind, 0) + 1
-            return new
-
-        return _PATTERN.sub(one, text), found
+            for value in _ibans(m[0]) if kind == "iban" else (m[0],):
+                if (new := self.value(kind, value)) is not None:
+                    found[kind] = found.get(kind, 0) + 1
+                    out += [text[done : m.start()], new]
+                    done = at = m.start() + len(value)
+                    break
+            else:
+                at = m.start() + 1
+        return "".join([*out, text[done:]]), found
+
+
+def _ibans(text: str) -> list[str]:
+    """What ``text`` may hold from its start on: the country's length first, then from the longest."""
+    ends = [text, *(text[: m.start()] for m in reversed(list(re.finditer(" ", text))))]
+    return sorted(ends, key=lambda t: len(t.replace(" ", "")) != _IBAN_LENGTHS.get(t[:2]))
 
 
 def _kind(m: re.Match) -> str:

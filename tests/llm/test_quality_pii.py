@@ -117,6 +117,20 @@ def test_what_does_not_validate_stays(text):
     assert pii.Pseudonyms(b"k").mask(f"x {text} y") == (f"x {text} y", {})
 
 
+@pytest.mark.parametrize("kind, value, text", [
+    ("iban", "AT611904300234573201", "{} EUR"), ("iban", "BE68 5390 0754 7034", "{} 2024"), ("iban", "ES9121000418450200051332", "{} I"),
+    ("iban", "AT61 1904 3002 3457 3201", "AB12 3456 {} ABCD EFGH IJKL MNOP"), ("iban", "CZ6508000000192000145399", "{} PAYMENT 20 MAY"),
+    ("card", "4111111111111111", "AB12 {}"), ("card", "4111 1111 1111 1111", "2024 {} 2025"), ("date", "1984-02-29", "AB12 3456 7890 {}"),
+    ("ssn", "123-45-6789", "XY99 ABCD EFGH {}"),
+])
+def test_values_beside_other_words(kind, value, text):
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    new = p.mask(value)[0]
+    assert new != value
+    assert p.mask(f"x {text.format(value)} y {text.format(value)}") == (f"x {text.format(new)} y {text.format(new)}", {kind: 2})
+    assert back.mask(text.format(new))[0] == text.format(value)
+
+
 def test_dates_map_one_to_one():
     p = pii.Pseudonyms(b"k")
     days = [dt.date(1950, 1, 1) + dt.timedelta(days=i) for i in range(3000)]
