@@ -4,11 +4,13 @@ Tokenising writes one narrow row per piece. What is packed is the histogram of p
 which has at most ``capacity`` entries whatever the corpus: a configuration is a multiset of
 lengths that fits one sequence, and the linear program asks for the fewest configurations
 that cover the histogram. It is solved by multiplicative weights: every length carries a
-weight, the pricing problem (the configuration of greatest weight, a knapsack) is solved by
-dynamic programming over the capacity, the configuration found is taken in proportion to what
-is left to cover, and the weights of the lengths it covers fall. The fractional counts are
-rounded down, and what remains is placed by best fit, longest first, into the gaps and new
-sequences, group by group instead of piece by piece.
+weight, the pricing problem (the configurations of greatest weight, a knapsack) is solved by
+dynamic programming over the capacity, the best configurations that hold the longest lengths left
+are taken as often as a share of what is left allows, and the weights of the lengths they cover
+fall. Steps go on until every length is covered; a configuration is taken a whole number of times
+and holds no more copies than are left. Configurations with gaps that nothing left fills are
+placed last, by best fit with the rest, longest first, into the gaps and new sequences, group by
+group instead of piece by piece.
 
 Pieces find their place without a group in one task: a piece's rank among the pieces of its
 length is an offset of its task (a prefix sum over a table of tasks by lengths) plus its rank
@@ -38,8 +40,11 @@ from .common import materialize, prepare, release_memory, require_columns, slice
 
 CAPACITY = 2048
 END_ID = 0
-#: Steps of the multiplicative-weights solver and the share of its load that a step may cover.
-STEPS, STEP = 300, 0.05
+#: Lengths that a step of the multiplicative-weights solver covers, the share of its load that a
+#: configuration may cover at a time, how much more a long piece's token weighs, the rate of the weights.
+FRONT, STEP, LONGER, RATE = 16, 0.3, 0.1, 0.05
+#: A configuration of short pieces that leaves more of a sequence free than this goes to best fit.
+GAP = 0.002
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -86,8 +91,8 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 # ---- the plan, over the histogram of lengths only
 
 
-def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest weight: an unbounded knapsack by dynamic programming."""
+def _table(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest weight within each capacity, and the index of a length that reaches it (-1: none)."""
     best = np.zeros(capacity + 1)
     chosen = np.full(capacity + 1, -1, dtype=np.int64)
     for c in range(1, capacity + 1):
@@ -98,6 +103,12 @@ def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int,
             k = int(value.argmax())
             if value[k] > best[c]:
                 best[c], chosen[c] = value[k], k
+    return best, chosen
+
+
+def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration of greatest weight: an unbounded knapsack by dynamic programming."""
+    _, chosen = _table(weights, lengths, capacity)
     out: Counter = Counter()
     c = capacity
     while c > 0:
@@ -109,34 +120,64 @@ def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int,
     return dict(out)
 
 
-def solve(histogram: dict[int, int], capacity: int, steps: int = STEPS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Fractional configurations for the covering LP, by multiplicative weights. A weight
-    starts at length / capacity, the value of a length where nothing is wasted, and falls
-    with the share of its pieces that is covered."""
+def _holding(k: int, best: np.ndarray, chosen: list[int], weights: np.ndarray, lengths: np.ndarray, sizes: list[int],
+             left: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration of greatest weight that holds length number ``k``; where a length is used
+    up, the next best one takes its place."""
+    out = {k: 1}
+    c = capacity - sizes[k]
+    while c > 0:
+        j = chosen[c]
+        if j < 0:
+            c -= 1
+            continue
+        if out.get(j, 0) >= left[j]:
+            n = int(np.searchsorted(lengths, c, side="right"))
+            value = np.where(left[:n] > 0, best[c - lengths[:n]] + weights[:n], -1.0)
+            for i, copies in out.items():
+                if i < n and copies >= left[i]:
+                    value[i] = -1.0
+            j = int(value.argmax())
+            if value[j] < 0:
+                break
+        out[j] = out.get(j, 0) + 1
+        c -= sizes[j]
+    return out
+
+
+def solve(histogram: dict[int, int], capacity: int, step: float = STEP) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Configurations that hold exactly the histogram by multiplicative weights, and a lower bound
+    of their number from the dual. A weight starts near length / capacity, the value of a length
+    where nothing is wasted, and falls with the share of its pieces that is covered."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
-    need = np.array([histogram[int(x)] for x in lengths], dtype=float)
-    covered = np.zeros(len(lengths))
-    plan: dict[tuple, float] = {}
-    for _ in range(steps):
-        left = 1.0 - covered
-        live = left > 1e-9
-        if not live.any():
-            break
-        weights = np.where(live, lengths / capacity * np.exp(2.0 * (left - left[live].mean())), 0.0)
-        config = price(weights[live], lengths[live], capacity)
-        at = np.searchsorted(lengths, list(config))
-        copies = np.array(list(config.values()), dtype=float)
-        # no length is covered beyond its need, nor by more than a share of it in one step
-        room = np.minimum(left[at] * need[at], np.maximum(step * need[at], copies)) / copies
-        times = float(room.min())
-        covered[at] += times * copies / need[at]
-        key = tuple(sorted(config.items(), reverse=True))
-        plan[key] = plan.get(key, 0.0) + times
-    return [(dict(k), v) for k, v in plan.items()]
-
-
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations with their multiplicities that hold exactly the histogram."""
+    need = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+    left = need.copy()
+    # weights of which no configuration holds more than one are a solution of the dual
+    bound = max(float(lengths @ need) / capacity, float(need[2 * lengths > capacity].sum()))
+    plan: Counter = Counter()
+    while left.any():
+        live = np.flatnonzero(left)
+        sizes, share, count = lengths[live], left[live] / need[live], left[live]
+        weights = sizes / capacity * (1 + LONGER * sizes / capacity) * np.exp(RATE * (share - share.mean()))
+        best, chosen = _table(weights, sizes, capacity)
+        bound = max(bound, float(weights @ need[live] / best[capacity]))
+        most, names, choice = step * need[live], sizes.tolist(), chosen.tolist()
+        for k in range(len(live) - 1, max(-1, len(live) - 1 - FRONT), -1):
+            while count[k]:
+                config = _holding(k, best, choice, weights, sizes, names, count, capacity)
+                at, copies = np.array(list(config)), np.array(list(config.values()))
+                # no length is covered beyond its need, nor by more than a share of it at a time
+                times = int((np.minimum(count[at], np.maximum(most[at], copies)) // copies).min())
+                count[at] -= times * copies
+                plan[tuple(sorted(((names[i], n) for i, n in config.items()), reverse=True))] += times
+        left[live] = count
+    return [(dict(k), v) for k, v in plan.items()], bound
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, figures: dict | None = None) -> list[tuple[dict[int, int], int]]:
+    """Whole configurations with their multiplicities that hold exactly the histogram. ``figures``
+    takes the share of the pieces shorter than a sequence that the LP placed (``lp_share``) and how
+    far the number of sequences is above the dual bound (``gap``)."""
     left = {k: v for k, v in histogram.items() if v > 0}
     if any(k > capacity or k <= 0 for k in left):
         raise ValueError("a piece is longer than a sequence")
@@ -149,12 +190,15 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     full = left.pop(capacity, 0)
     if full:
         put({capacity: 1}, full)
-    for config, times in sorted(solve(left, capacity), key=lambda x: -x[1]) if left else []:
-        whole = min([int(times + 1e-6), *(left[k] // v for k, v in config.items())])
-        if whole > 0:
-            put(config, whole)
+    configs, bound = solve(left, capacity) if left else ([], 0.0)
+    pieces, placed = sum(left.values()), 0
+    for config, times in configs:
+        # gaps stay only where nothing left was short enough to fill them
+        if capacity - sum(k * v for k, v in config.items()) <= GAP * capacity or 2 * max(config) > capacity:
+            put(config, times)
+            placed += times * sum(config.values())
             for k, v in config.items():
-                left[k] -= whole * v
+                left[k] -= times * v
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:
@@ -174,6 +218,8 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     for g in groups.values():
         for config, times in g:
             merged[tuple(sorted(config.items(), reverse=True))] += times
+    if figures is not None:
+        figures |= {"lp_share": placed / pieces if pieces else 1.0, "gap": sum(merged.values()) / (bound + full) - 1 if bound + full else 0.0}
     return [(dict(k), v) for k, v in sorted(merged.items(), reverse=True)]
 
 

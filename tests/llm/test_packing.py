@@ -81,6 +81,24 @@ def test_plans_hold_the_histogram_and_are_tight(seed):
     assert sum(t for _, t in plan) <= bound * 1.01 + 2
 
 
+@pytest.mark.parametrize("pieces", [20_000, 1_000_000])
+def test_the_lp_places_the_pieces(pieces):
+    rng = np.random.default_rng(1)
+    h = Counter((rng.lognormal(6, 1, pieces).astype(int) % 2048 + 1).tolist())
+    figures = {}
+    plan = packing.pack_histogram(dict(h), 2048, figures)
+    got = Counter()
+    for config, times in plan:
+        assert sum(k * v for k, v in config.items()) <= 2048
+        for k, v in config.items():
+            got[k] += v * times
+    assert got == h
+    assert figures["lp_share"] > 0.9 and figures["gap"] < 0.001
+    # scarce short pieces, of which a sequence would hold more than there are
+    packing.pack_histogram({1: 10, 2: 3, 1500: 4000}, 2048, figures)
+    assert figures == {"lp_share": 1.0, "gap": 0.0}
+
+
 def test_awkward_lengths():
     # nothing fits beside these, so one sequence each is the least
     assert sum(t for _, t in packing.pack_histogram({260: 70, 300: 30}, 512)) == 100
