@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +108,49 @@ def test_dedup_equals_brute_force(spark, cell_rows, chunk):
     assert sorted(map(tuple, got), key=str) == brute(rows, 0.98)
 
 
+def test_groups_of_a_dense_cell_are_bounded():
+    n, visitors = 1000, 3000  # all in or at cell 5, of chunks and parts of about 100
+    ids = np.arange(n + visitors)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(len(ids), np.int64)), pa.array(np.full(len(ids), 2, np.int32)), pa.array(ids), pa.array(np.ones(len(ids), np.int64)),
+         pa.array([[1.0, 0.0]] * len(ids)), pa.array(np.where(ids < n, 5, 4)), pa.array([[] if i < n else [5] for i in ids], pa.list_(pa.int64()))],
+        names=["label", "size", "rep", "copies", "embedding", "cell", "visits"])
+    groups, met = {}, set()
+    # cell 4 is large, too: its own pairs
+    for r in next(dedup._deal({(0, 2, 5): 10, (0, 2, 4): 30}, {(0, 2, 5): 30})([batch])).to_pylist():
+        groups.setdefault((r["cell"], r["chunk"], r["other"]), ([], []))[r["visitor"]].append(r["rep"])
+    assert max(len(a) + len(b) for a, b in groups.values()) < 400
+    for (_, chunk, other), (home, guests) in groups.items():
+        pairs = [(a, b) for a in home for b in guests] + [(a, b) for a in home for b in home if a < b and chunk == other]
+        for a, b in pairs:
+            assert (p := (min(a, b), max(a, b))) not in met
+            met.add(p)
+    assert len(met) == (n + visitors) * (n + visitors - 1) // 2
+
+
+def test_links_of_a_group_are_folded():
+    rng = np.random.default_rng(4)
+    n, home = 6000, 3500
+    x = 1 + rng.random((n, 4)) * 0.01
+    x[5000:] *= [1, 1, 1, -1]  # visitors that are linked with x[7] only
+    x[7] *= [1, 1, 1, -1]
+    ids, copies = rng.permutation(n), rng.integers(1, 4, n)
+    for own in (True, False):
+        cells = [np.zeros(n, np.int64)] * 3 + [np.zeros(n, np.int64), np.full(n, 0 if own else -1)]
+        columns = [*map(pa.array, cells), pa.array((np.arange(n) >= home).astype(np.int32)), pa.array(ids), pa.array(copies), pa.array(x.tolist())]
+        batch = pa.RecordBatch.from_arrays(columns, names=["label", "size", "cell", "chunk", "other", "visitor", "rep", "copies", "embedding"])
+        tracemalloc.start()
+        got = {r["rep"]: (r["n"], r["root"]) for out in dedup._link(0.98)([batch]) for r in out.to_pylist()}
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 150e6
+        minus = x[:, 3] < 0
+        resident = np.arange(n) < home
+        for i in range(n):
+            near = (minus == minus[i]) & (resident if not resident[i] else ~resident | own) & (np.arange(n) != i)
+            assert got[ids[i]] == (copies[near].sum(), ids[minus == minus[i]].min())
+
+
 def test_dedup_on_the_table(spark):
     table = read_table(spark, "/root/testdata/sf0.01", "embeddings")
     rows = [tuple(r) for r in table.collect()]
