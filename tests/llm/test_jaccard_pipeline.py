@@ -81,6 +81,32 @@ def test_small_buffers_do_not_matter(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.join(frame, 4, 85).collect())) == brute(rows, 4, 85)
 
 
+def test_blocks_of_a_signature(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBERS", 6)
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    monkeypatch.setattr(jaccard, "ERRANDS", 2)
+    rng = random.Random(5)
+    rows = []
+    for f in range(2):
+        text = [f"f{f}w{i}" for i in range(200)]
+        rows.append((500 + f, " ".join(text)))
+        for i in range(60):  # near the first one, and rarely each other
+            copy = list(text)
+            for at in rng.sample(range(200), 5):
+                copy[at] = f"x{rng.random()}"
+            rows.append((60 * f + i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, jaccard.join(frame, 4, 80).collect())) == brute(rows, 4, 80)
+
+
+def test_a_set_with_many_partners_is_their_centre(spark):
+    pairs = spark.range(20_000).selectExpr("id as a", "50000L as b")
+    got = jaccard._errands(pairs).collect()
+    assert max(len(r["errands"]) for r in got) <= 20
+    assert all(e["center"] == 50_000 for r in got for e in r["errands"])
+    assert sum(e["partner"] for r in got for e in r["errands"]) == 20_000
+
+
 def test_word_hashes_of_any_length(monkeypatch):
     text = ("some words é " * 50 + "x" * 500 + "\n tail").encode()
     start, h = jaccard.word_hashes(text)
