@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, embedding_dedup, jaccard, mixing, neighbours, packing, pii, quality, sharding, warc
+from . import chat, embedding_dedup, jaccard, lm, mixing, neighbours, packing, pii, quality, sharding, warc
 from .common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,9 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM shingles JOIN lea
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets reach a Jaccard similarity of 0.85."""
     return jaccard.join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query("op11_attention_scores")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and unigram scores of all documents."""
+    return lm.score_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
