@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, embedding_dedup, jaccard, lm, mixing, neighbours, packing, pii, quality, sharding, warc
+from . import centroids, chat, embedding_dedup, infill, jaccard, lm, mixing, neighbours, packing, pii, quality, sharding, warc
 from .common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,64 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model and unigram scores of all documents."""
     return lm.score_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _cluster_sql(rounds: int) -> str:
+    """The rounds one after another: assignment a<i> to centroids c<i>, then centroids c<i + 1>."""
+    parts = [r"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+             """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept QUALIFY c < 8)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, k.v, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::BIGINT, 'c': c.c}}) AS m
+  FROM kept k, c{i} c GROUP BY rid, vec_id, k.v)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v
+    FROM (SELECT m.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY m.c, i) GROUP BY c) n
+  ON o.c = n.c)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a.m.c::INT AS cluster, a.m.d AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.c))::BIGINT AS cluster_inertia,
+       (sum(a.m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.m.c = c.c
+"""
+
+
+@query("op12_mean_variance_clusters", _cluster_sql(10))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of integer k-means over all vectors of 64 components, 8 centroids."""
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+INFILL_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+drawn AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS one, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+cut AS (
+  SELECT *, array_to_string(u[1 : least(one, two)], '') AS p, array_to_string(u[least(one, two) + 1 : greatest(one, two)], '') AS m,
+         array_to_string(u[greatest(one, two) + 1 : n], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+         AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+@query("op13_word_parallel_infill", INFILL_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle examples of all documents, and the texts read back from them."""
+    made = infill.infill(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
