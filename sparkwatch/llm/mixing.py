@@ -8,15 +8,21 @@ All (document, pass) pairs are sorted by finish time over all sources, and the s
 cut where the running total reaches the budget. Because finish times are in units of each
 source's own target, every source is near its target wherever the sequence is cut.
 
+The targets add up to the budget, so all that finishes by 1 is taken: how much of a row's
+copies that is follows by division. The cut lies behind 1, and before the time by which
+targets, capped at what the sources hold, exceed the budget by one document of each source.
+Only what finishes in between is sorted over all sources.
+
 Only DataFrame functions. Running totals never put a source (or the whole table) into one
 task: rows are dealt into blocks of their order axis, block totals are summed on a small
 table, and a window runs inside each block only.
 
 Defined cases: null text or a text without words has size 0, takes 0 and is kept in the
 result; a null source is a source of its own, last in code point order; rows that agree in
-(doc_id, source, size), null ids included, are taken together, pass by pass, so repeated
-rows get equal ``taken``; an empty table gives an empty result; other columns are ignored
-by ``mix`` and carried along by ``mix_documents``.
+(doc_id, source, size), null ids included, are copies that follow each other in the queue; the cut
+may fall between them, so that some are taken once more than the others, without a row for each
+copy before the cut; an empty table gives an empty result; other columns are ignored by ``mix``
+and carried along by ``mix_documents``, whose columns must be of types that can be grouped.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = "mix-1"
 #: Rows that one block of a running total should hold, and the most blocks of a source.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 5_000
 MAX_BLOCKS = 1 << 16
 
 
@@ -80,10 +86,24 @@ def _units(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _last_finish(targets: DataFrame, largest: DataFrame, max_repeats: int) -> float:
+    """A time behind the cut: with every source at its target times this, or at all that it holds,
+    the budget is exceeded by the largest document of each source. The windows run over one row
+    per source."""
+    per = targets.join(largest, "src").withColumn("cap", F.col("source_size") * max_repeats)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = Window.orderBy((F.col("cap") / F.col("target")).asc(), F.col("src").asc())
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("target").over(order.rowsBetween(0, Window.unboundedFollowing))
+    here = (F.col("budget") + F.sum("largest").over(everything) - before) / rest
+    return max(1.0, per.select(here.alias("here")).agg(F.max("here")).first()[0] or 1.0)
+
+
 def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS,
         seed: str = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, source, size, copies, source_size, target, passes): how many passes of each
-    distinct document row the mix takes. ``copies`` rows of the table share a result row."""
+    """(doc_id, source, size, copies, source_size, target, passes): how many passes the mix takes
+    of ``copies`` of the rows that agree in (doc_id, source, size): one row for all of them, or
+    two where the cut falls between them."""
     spark = prepare(docs.sparkSession)
     require_columns(docs, "doc_id", "source", "text")
     units = materialize(_units(docs), "mix-units")
@@ -100,26 +120,69 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeats: int =
               .withColumn("h", shuffled).withColumn("block", block).withColumn("tokens", F.col("size") * F.col("copies")))
     sized = queued.where(F.col("size") > 0)
     sized = _running(sized, ["src"], "block", [F.col("h"), F.col("doc_id"), F.col("size")], "tokens", "upto")
+
+    def copies_by(end: Column, one_pass: Column) -> Column:
+        """How many copies end at or before ``end`` (a whole number of the source's tokens) in a pass."""
+        begun = F.col("upto") - F.col("tokens") + one_pass * F.col("source_size")
+        return F.least(F.greatest(F.floor((end - begun) / F.col("size")), F.lit(0)), F.col("copies"))
+
+    one = F.floor("target")
+    sure = sum((copies_by(one, F.lit(p)) for p in range(max_repeats)), F.lit(0))
+    sized = materialize(sized.withColumn("sure", sure.cast("long")), "mix-queued")
+    spent = sized.agg(F.coalesce(F.sum(F.col("sure") * F.col("size")), F.lit(0))).first()[0]
+    last = _last_finish(targets, sized.groupBy("src").agg(F.max("size").alias("largest")), max_repeats)
     passes = sized.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-    passes = passes.withColumn("finish", (F.col("upto") + F.col("pass") * F.col("source_size")).cast("double") / F.col("target"))
-    passes = passes.withColumn("slot", F.floor(F.col("finish") * blocks)).select(
-        "src", "doc_id", "source", "size", "copies", "source_size", "target", "budget", "h", "tokens", "pass", "finish", "slot")
-    order = [F.col("finish"), F.col("src"), F.col("h"), F.col("doc_id"), F.col("size"), F.col("pass")]
-    cut = _running(passes, [], "slot", order, "tokens", "total")
-    keep = ["doc_id", "source", "size", "copies", "source_size", "target"]
-    taken = cut.groupBy(*keep).agg(F.sum((F.col("total") <= F.col("budget")).cast("long")).alias("passes"))
-    return taken.unionByName(queued.where(F.col("size") == 0).select(*keep, F.lit(0).cast("long").alias("passes")))
+    passes = passes.withColumn("low", copies_by(one, F.col("pass"))).withColumn(
+        "high", F.least(copies_by(F.floor(F.col("target") * last) + 1, F.col("pass")) + 1, F.col("copies")))
+    near = passes.where("high > low").withColumn("copy", F.explode(F.sequence(F.col("low") + 1, F.col("high"))))
+    near = near.withColumn("finish", (F.col("upto") - F.col("tokens") + F.col("copy") * F.col("size") + F.col("pass") * F.col("source_size"))
+                           .cast("double") / F.col("target"))
+    near = near.withColumn("slot", F.floor((F.col("finish") - 1) / max(last - 1, 1e-9) * blocks)).select(
+        "src", "doc_id", "source", "size", "budget", "h", "pass", "copy", "finish", "slot")
+    order = [F.col("finish"), F.col("src"), F.col("h"), F.col("doc_id"), F.col("size"), F.col("pass"), F.col("copy")]
+    cut = _running(near, [], "slot", order, "size", "total").where(F.col("total") + spent <= F.col("budget"))
+    more = cut.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("more")).alias("m")
+    same = F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("s.source").eqNullSafe(F.col("m.source")) & (F.col("s.size") == F.col("m.size"))
+    taken = sized.alias("s").join(more, same, "left").select("s.*", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("taken"))
+    # passes follow one another: a few copies are one pass ahead of the others
+    full, ahead = F.floor(F.col("taken") / F.col("copies")), F.col("taken") % F.col("copies")
+    parts = F.array(F.struct(ahead.alias("copies"), (full + 1).alias("passes")), F.struct((F.col("copies") - ahead).alias("copies"), full.alias("passes")))
+    keep = ["doc_id", "source", "size", "copies", "source_size", "target", "passes"]
+    split = taken.withColumn("part", F.explode(F.filter(parts, lambda p: p["copies"] > 0)))
+    split = split.select("doc_id", "source", "size", "part.copies", "source_size", "target", "part.passes")
+    return split.unionByName(queued.where(F.col("size") == 0).withColumn("passes", F.lit(0).cast("long")).select(*keep))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: every row of ``docs`` repeated as often as the mix takes it.
     Columns as in ``docs``. The mix travels to the rows by (doc_id, source, size)."""
-    size, copy = free_name(docs, "mix_size"), free_name(docs, "mix_copy")
+    size, copy, number = (free_name(docs, x) for x in ("mix_size", "mix_copy", "mix_n"))
     rows = docs.withColumn(size, word_count(F.col("text"))).alias("d")
-    takes = mix(docs, **options).where(F.col("passes") > 0).alias("t")
+    mixed = materialize(mix(docs, **options), "mix-taken")
+    # one row, or two: the copies ahead, and all of them
+    per = mixed.groupBy("doc_id", "source", "size").agg(
+        F.min("passes").alias("passes"), F.max("passes").alias("most"), F.min_by("copies", -F.col("passes")).alias("ahead"))
+    takes = per.where(F.col("most") > 0).alias("t")
     on = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
           & (F.col(f"d.{size}") == F.col("t.size")))
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    met = rows.join(takes, on)
     # one output row for each pass
-    repeated = rows.join(takes, on).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.passes"))).alias(copy))
-    return repeated.drop(copy)
+    whole = met.where("t.most = t.passes and t.passes > 0").select(
+        *columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.passes"))).alias(copy)).drop(copy)
+    # at the cut, one group of copies of a source at most: equal rows are counted, and the counts numbered
+    split = per.where("most > passes")
+    if split.isEmpty():
+        return whole
+    names = [f"`{c}`" for c in docs.columns]
+    marks = {x: free_name(docs, x) for x in ("mix_group", "mix_less", "mix_ahead", "mix_block", "mix_upto")}
+    group, less, ahead, block, upto = marks.values()
+    some = met.where("t.most > t.passes").select(
+        *columns, F.xxhash64("t.doc_id", "t.source", "t.size").alias(group), F.col("t.passes").alias(less), F.col("t.ahead").alias(ahead))
+    counted = materialize(some.groupBy(*names, group, less, ahead).agg(F.count(F.lit(1)).alias(number)), "mix-split")
+    counted = counted.withColumn(block, F.pmod(F.xxhash64(*names), F.lit(1_024)))
+    counted = _running(counted, [group], block, [F.col(c) for c in names], number, upto)
+    ahead_here = F.greatest(F.least(F.col(ahead) - (F.col(upto) - F.col(number)), F.col(number)), F.lit(0))
+    times = F.col(number) * F.col(less) + ahead_here
+    repeated = counted.withColumn(copy, times).where(F.col(copy) > 0)
+    return whole.unionByName(repeated.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))).alias(copy)).drop(copy))

@@ -43,10 +43,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH units AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, count(*) AS copies
-  FROM documents GROUP BY ALL),
-sizes AS (SELECT source, sum(size * copies)::BIGINT AS source_size FROM units GROUP BY source),
+WITH rows AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+units AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM rows),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM units GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS src, sum(source_size) OVER ()::BIGINT AS budget FROM sizes),
 weighed AS (SELECT *, CASE (src - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 3 AS cap FROM ranked),
 levels AS (
@@ -58,15 +58,15 @@ queued AS (
   SELECT u.*, t.src, t.source_size, t.budget, t.target,
          md5('mix-1|' || coalesce(u.doc_id::VARCHAR, 'null') || '|' || u.size) AS h
   FROM units u JOIN targets t ON u.source IS NOT DISTINCT FROM t.source),
-upto AS (SELECT *, sum(size * copies) OVER (PARTITION BY src ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS cum
+upto AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY h, doc_id NULLS FIRST, size, copy ROWS UNBOUNDED PRECEDING) AS cum
          FROM queued WHERE size > 0),
 passes AS (SELECT *, (cum + pass * source_size)::DOUBLE / target AS finish FROM upto, (SELECT unnest([0, 1, 2]) AS pass)),
-totals AS (SELECT *, sum(size * copies) OVER (ORDER BY finish, src, h, doc_id NULLS FIRST, size, pass ROWS UNBOUNDED PRECEDING) AS total
+totals AS (SELECT *, sum(size) OVER (ORDER BY finish, src, h, doc_id NULLS FIRST, size, pass, copy ROWS UNBOUNDED PRECEDING) AS total
            FROM passes),
-taken AS (SELECT doc_id, source, size, sum((total <= budget)::BIGINT) AS n FROM totals GROUP BY ALL)
+taken AS (SELECT doc_id, source, size, copy, sum((total <= budget)::BIGINT) AS n FROM totals GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(t.n, 0))::BIGINT AS taken
-FROM (SELECT *, unnest(range(copies)) FROM queued) q
-LEFT JOIN taken t ON q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.source IS NOT DISTINCT FROM t.source AND q.size = t.size
+FROM queued q
+LEFT JOIN taken t ON q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.source IS NOT DISTINCT FROM t.source AND q.size = t.size AND q.copy = t.copy
 """
 
 

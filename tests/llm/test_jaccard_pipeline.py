@@ -147,15 +147,69 @@ def test_every_similar_pair_shares_a_signature(percent):
         assert shared
 
 
+def groups(rows, words, percent):
+    """The group of each row: rows linked by their own texts, whatever their ids."""
+    sets = [plain_set(t, words) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def find(a):
+        while group[a] != a:
+            a = group[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and rows[a][0] is not None and rows[b][0] is not None:
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    group[find(a)] = find(b)
+    return [find(a) if sets[a] and rows[a][0] is not None else None for a in range(len(rows))]
+
+
+def check_kept(rows, kept, words, percent):
+    """``kept``: places of the rows that stay."""
+    group = groups(rows, words, percent)
+    free = [i for i, g in enumerate(group) if g is None]
+    assert [i for i in kept if group[i] is None] == free
+    mine = [i for i in kept if group[i] is not None]
+    assert sorted(group[i] for i in mine) == sorted({g for g in group if g is not None}), "one row of each group"
+    for i in mine:
+        assert rows[i][0] == min(r[0] for r, g in zip(rows, group) if g == group[i])
+
+
+def kept_places(spark, rows, words, percent):
+    frame = spark.createDataFrame([(*r, i, "x", 5) for i, r in enumerate(rows)],
+                                  "doc_id long, text string, place int, twice string, gone_id int").repartition(3)
+    kept = jaccard.keep_one(frame, words, percent)
+    assert kept.columns == frame.columns
+    return sorted(r["place"] for r in kept.collect())
+
+
 def test_keep_one(spark):
     rows = corpus(9)
-    frame = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, twice string, gone_id int").repartition(3)
-    kept = jaccard.keep_one(frame, 4, 85)
-    assert kept.columns == frame.columns
-    got = Counter(r["doc_id"] for r in kept.collect())
-    want = {i for (i, _, c), _ in brute(rows, 4, 85).items() if i is None or i == c}
-    assert set(got) == want and max(got.values()) == 1
-    assert jaccard.keep_one(frame.limit(0)).count() == 0
+    check_kept(rows, kept_places(spark, rows, 4, 85), 4, 85)
+    assert jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_keep_one_of_equal_ids(spark):
+    """Rows that share an id hold different texts, equal ones, none, or texts of other groups."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (6, b + " more"), (8, ""), (8, c)]
+    got = kept_places(spark, rows, 4, 85)
+    assert got == [0, 2, 4, 5]
+    rng = random.Random(4)
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in range(12)]
+    rows = []
+    for _ in range(150):
+        words = rng.choice(texts).split()
+        if rng.random() < 0.5:
+            words[rng.randrange(60)] = "changed"
+        rows.append((rng.choice([None, *range(8)]), rng.choice([" ".join(words), " ".join(words), None, ""])))
+    check_kept(rows, kept_places(spark, rows, 4, 85), 4, 85)
+
+
+def test_keep_one_where_all_rows_share_an_id(spark):
+    rows = [(7, " ".join(f"t{k % 5}w{i}" for i in range(30))) for k in range(40)] + [(7, None)] * 3
+    check_kept(rows, kept_places(spark, rows, 4, 85), 4, 85)
 
 
 # ---- the pipeline, stage by stage against plain code on each stage's own input

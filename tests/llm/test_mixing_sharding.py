@@ -78,6 +78,63 @@ def test_documents_are_repeated(spark):
     assert got == +want
 
 
+def in_order(rows, weights=(5, 2, 1), repeats=3):
+    """Passes of every row by the rule itself: all (row, pass) pairs in one list, cut at the budget."""
+    import hashlib
+
+    size = [len((t or "").split()) for _, t, *_ in rows]
+    sizes = defaultdict(int)
+    for n, r in zip(size, rows):
+        sizes[r[3]] += n
+    target = level_targets(dict(sizes), weights, repeats)
+    src = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode())))}
+    name = lambda i: "null" if i is None else str(i)
+    queue = sorted((src[r[3]], hashlib.md5(f"mix-1|{name(r[0])}|{n}".encode()).hexdigest(), r[0] is not None, r[0] or 0, n, i)
+                   for i, (n, r) in enumerate(zip(size, rows)) if n)
+    upto, pairs = defaultdict(int), []
+    for s, h, *rest, i in queue:
+        source = rows[i][3]
+        upto[s] += size[i]
+        pairs += [(Fraction(upto[s] + p * sizes[source]) / target[source], s, h, *rest, p, i) for p in range(repeats)]
+    total, passes = 0, Counter()
+    for *_, i in sorted(pairs):
+        total += size[i]
+        if total > sum(sizes.values()):
+            break
+        passes[i] += 1
+    return [(r[0], r[3], n, passes[i]) for i, (n, r) in enumerate(zip(size, rows))]
+
+
+@pytest.mark.parametrize("rows", [
+    corpus(),
+    # rows without ids, one id many times: the cut falls inside a group of equal rows
+    [(None, "w w w", "en", "ab"[i >= 2000], i % 7) for i in range(4000)],
+    [(5, "w w", "en", "a", 1)] * 900 + [(6, "w " * 7, "en", "b", 1)] * 40 + [(i, "w", "en", "c", 1) for i in range(30)],
+    [(1, "w w w w w", "en", "a", 1)] * 50,
+    [(i, "w " * 400, "en", "abc"[i % 3], i) for i in range(7)],
+])
+def test_mix_equals_the_rule(spark, rows):
+    frame = docs(spark, rows).repartition(3)
+    got = Counter()
+    for r in mixing.mix(frame, block_rows=5).collect():
+        got[r["doc_id"], r["source"], r["size"], r["passes"]] += r["copies"]
+    want = in_order(rows)
+    assert got == Counter(want)
+    out = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in mixing.mix_documents(frame).collect())
+    expected = Counter()
+    for i, s, n, p in want:
+        expected[i, s, n] += p
+    assert out == +expected
+
+
+def test_targets_of_rows_without_ids(spark):
+    rows = [(None, "w w w", "en", "ab"[i >= 2000], i % 7) for i in range(4000)]
+    taken = Counter()
+    for r in mixing.mix(docs(spark, rows)).collect():
+        taken[r["source"]] += r["size"] * r["copies"] * r["passes"]
+    assert abs(taken["a"] - 12_000 * 5 / 7) <= 6 and abs(taken["b"] - 12_000 * 2 / 7) <= 6
+
+
 def test_empty_table(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mix_documents(docs(spark, [])).count() == 0
