@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwatch.llm import jaccard, mixing, packing, pii, quality
-from sparkwatch.llm.common import materialize, prepare, read_table
+from sparkwatch.llm.common import materialize, prepare, pseudonym_key, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal data."""
-    return pii.mask(docs, counts=False)
+    return pii.mask(docs, pseudonym_key(spark), counts=False)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Session setting that names the key of pseudonyms, and the key of queries where it is unset: known
+#: to everyone, so that results can be compared, and of no use for real data.
+KEY_CONF, OPEN_KEY = "spark.sparkwatch.pseudonymKey", "known to everyone"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_CONF, OPEN_KEY).encode()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,12 @@ domain; a Feistel network over the next even number of bits, keyed and walked un
 falls into the domain again, permutes that domain. Check digits are computed anew, separators,
 letter case and length stay. So a pseudonym has the value's format and validates too, equal
 values get equal pseudonyms in all documents, different values different ones, and the holder
-of the key can invert it (``Pseudonyms(..., undo=True)``). To invert a whole text, ``undo`` has
+of the key can invert it (``Pseudonyms(..., undo=True)``). Equal means the value and not its
+spelling: a date is its day (1999-12-31, 31/12/1999, 12/31/1999), and days of month up to 12 and
+beyond are permuted among themselves, so that what could be read in one order only stays so; a
+phone number is its country code and its digits, whatever stands between them, and a number
+without a country code is one of country code 1; cards, IBANs, addresses and secrets are their
+digits and letters, without separators and letter case. To invert a whole text, ``undo`` has
 to find the values again; where a word beside a pseudonym validates together with it by chance,
 it reads another value.
 
@@ -34,8 +39,6 @@ from pyspark.sql import functions as F
 
 from .common import free_name, prepare, release_memory, require_columns
 
-#: For tests and examples; a user passes their own secret.
-KEY = b"example key, replace it"
 ROUNDS = 10
 KINDS = ("card", "iban", "date", "ssn", "phone", "ip", "email", "secret")
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -54,7 +57,12 @@ _PATTERN = re.compile(
     """.replace(r"([.-])", r"(?P<sep>[.-])").replace(r"\g<sep>", r"(?P=sep)").replace(r"([ -])", r"(?P<dash>[ -])").replace(r"\g<dash>", r"(?P=dash)"),
     re.VERBOSE,
 )
-_DIGIT = re.compile(r"[0-9@]")
+#: What every value of any kind holds: a digit, an @, or as many letters as a secret without digits.
+_MAYBE = re.compile(r"[0-9@]|[a-f]{32}|[A-F]{32}")
+#: Country calling codes of one and two digits; all others have three.
+_ONE_DIGIT = "17"
+_TWO_DIGITS = """20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66
+    81 82 84 86 90 91 92 93 94 95 98""".split()
 #: Characters of an IBAN by country.
 _IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in """
     AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29
@@ -174,9 +182,10 @@ class Pseudonyms:
         if kind == "phone":
             if not 8 <= len(digits) <= 15:
                 return None
-            country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
-            start = country.end() if country else 0
-            return text[:start] + self.digits("phone" + text[:start], text[start:])
+            country = calling_code(digits) if text[0] == "+" else ""
+            own = digits[len(country) :]
+            new = self.permute(f"phone{country or 1}", int(own), 10 ** len(own))
+            return _refill(text, country + str(new).zfill(len(own)))
         if kind == "secret":
             n = self.permute("secret", int(text, 16), 16 ** len(text))
             out = f"{n:0{len(text)}x}"
@@ -184,24 +193,25 @@ class Pseudonyms:
         head, _, top = text.rpartition(".")
         return f"{self.characters('email', head)}.{top}"
 
-    def _date(self, text: str, order: tuple[int, ...], day: int) -> str | None:
-        """Dates of one reading permute among the dates of that reading: a text that could be
-        read day first maps to one that is read day first again."""
+    def _date(self, text: str, order: tuple[int, ...], day: int) -> str:
+        """Days are permuted under one key for all spellings, those up to the 12th of a month and the
+        others among themselves: a text that is read month first stays so, and one that could be
+        read day first too."""
         size = _LAST_DAY - _FIRST_DAY + 1
+        late = dt.date.fromordinal(day).day > 12
         n = day - _FIRST_DAY
         while True:
-            n = self.permute(f"date{order}", n, size)
+            n = self.permute("date", n, size)
             new = dt.date.fromordinal(_FIRST_DAY + n)
-            values = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
-            if order != (2, 0, 1) or new.day > 12:
+            if (new.day > 12) == late:
                 break
+        values = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
         seps = re.findall(r"[^0-9]", text)
         return f"{values[0]}{seps[0]}{values[1]}{seps[1]}{values[2]}"
 
     def mask(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and the number of findings by kind."""
-        if not _DIGIT.search(text):
-            # no number and no address; hexadecimal secrets without a digit aren't told from words
+        if not _MAYBE.search(text):
             return text, {}
         found: dict[str, int] = {}
         out, done, at = [], 0, 0
@@ -224,6 +234,11 @@ def _ibans(text: str) -> list[str]:
     return sorted(ends, key=lambda t: len(t.replace(" ", "")) != _IBAN_LENGTHS.get(t[:2]))
 
 
+def calling_code(digits: str) -> str:
+    """The country calling code that ``digits`` begin with."""
+    return digits[:1] if digits[0] in _ONE_DIGIT else digits[:2] if digits[:2] in _TWO_DIGITS else digits[:3]
+
+
 def _kind(m: re.Match) -> str:
     return next(k for k in KINDS if m[k] is not None)
 
@@ -238,8 +253,8 @@ def pseudonyms(key: bytes) -> Pseudonyms:
     return Pseudonyms(key)
 
 
-def mask(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``; with ``counts`` also ``n_<kind>`` columns, in place
+def mask(docs: DataFrame, key: bytes, counts: bool = True) -> DataFrame:
+    """``docs`` with pseudonyms in ``text`` under the secret ``key``; with ``counts`` also ``n_<kind>`` columns, in place
     of columns of these names. No shuffle."""
     prepare(docs.sparkSession)
     require_columns(docs, "text")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import centroids, chat, embedding_dedup, infill, jaccard, lm, mixing, neighbours, packing, pii, quality, sharding, warc
-from .common import prepare, read_table
+from .common import prepare, pseudonym_key, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,7 +152,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_feistel_pseudonyms")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for the personal data in their texts."""
-    return pii.mask(read_table(spark, sf_dir, "documents"))
+    return pii.mask(read_table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 NEAREST_SQL = r"""

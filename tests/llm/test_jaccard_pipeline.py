@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from sparkwatch.llm import jaccard, mixing, pii, quality
-from sparkwatch.llm.common import materialize, read_table
+from sparkwatch.llm.common import materialize, pseudonym_key, read_table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -231,7 +231,7 @@ def test_pipeline(spark):
     assert Counter(r for r in inputs["n-gram Jaccard join"]) == Counter(r for r in inputs["quality classifier"] if r[0] in good)
     one = {i for (i, _, c), _ in brute([r[:2] for r in inputs["n-gram Jaccard join"]], 5, 80).items() if i == c}
     assert {r[0] for r in inputs["PII"]} == one and len(inputs["PII"]) == len(one)
-    p = pii.Pseudonyms(pii.KEY)
+    p = pii.Pseudonyms(pseudonym_key(spark))
     assert Counter((r[0], p.mask(r[1])[0], *r[2:]) for r in inputs["PII"]) == Counter(inputs["mixing sources"])
     takes = {(r["doc_id"], r["source"]): r["passes"] for r in mixing.mix(spark.createDataFrame(inputs["mixing sources"], original.schema)).collect()}
     want = Counter()
