@@ -6,7 +6,8 @@ Scale notes
 * Rolling windows over labeled pairs and alert windows over time slots run inside
   blocks of a key's time axis, with the last rows before each block carried along
   (``ranking.trailing_sums``) - a hot model version is never one task.
-* Alert ``for:`` holds are gaps-and-islands over the same blocks (``ranking.runs_of_true``).
+* Alert ``for:`` holds are gaps-and-islands over the same blocks (``ranking.Blocks.runs``): the
+  windows of an alert and of its hold run in one stage.
 * Evaluation grids have one row per series and time slot: their size grows with the
   time span, not with the number of events.
 """
@@ -14,6 +15,7 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import class_name, safe_div
 from .drift import class_distribution, data_drift, data_drift_summary, model_drift
 from ..session import cut_lineage
-from .ranking import runs_of_true, trailing_sums
+from .ranking import blocked, runs_of_true, trailing_sums
 
 # ---- fixed values: monitoring defaults ----
 WINDOW_SIZE = 100
@@ -69,7 +71,7 @@ def rolling_accuracy(pairs: DataFrame, keys: Sequence[str] = ("model_version",),
     keys = list(keys)
     lab = pairs.filter(F.col(label_col).isNotNull()).select(
         *keys, id_col, ts_col, F.when(F.col(pred_col) == F.col(label_col), 1).otherwise(0).alias("hit"))
-    # narrow rows that several branches read (edges, windows, carried rows): the view is computed once
+    # narrow rows that several branches read (sizes, windows, carried rows): the view is computed once
     lab = cut_lineage(lab)
     t = trailing_sums(lab, keys, [ts_col, id_col], ["hit"], window, block_expr=_micros(F.col(ts_col)).cast("double"),
                       blocks=blocks)
@@ -100,9 +102,8 @@ def block_model_drift(baseline_preds: DataFrame, current_preds: DataFrame, keys:
     (keys..., block, n, class_distribution_shift, model_drift_detected)."""
     keys = list(keys)
     base = class_distribution(baseline_preds, pred_col, keys).withColumnRenamed("share", "p_b")
-    cur = current_preds.select(*keys, ts_col, id_col, pred_col).withColumn("_z", F.lit(0))
-    numbered = trailing_sums(cur, keys, [ts_col, id_col], ["_z"], 1, block_expr=_micros(F.col(ts_col)).cast("double"),
-                             blocks=blocks)
+    cur = cut_lineage(current_preds.select(*keys, ts_col, id_col, pred_col))
+    numbered = trailing_sums(cur, keys, [ts_col, id_col], [], 1, block_expr=_micros(F.col(ts_col)).cast("double"), blocks=blocks)
     numbered = numbered.withColumn("block", F.floor((F.col("rn") - 1) / interval).cast("long"))
     cnt = numbered.groupBy(*keys, "block", pred_col).agg(F.count(F.lit(1)).alias("_n"))
     tot = cnt.groupBy(*keys, "block").agg(F.sum("_n").alias("n"))
@@ -225,12 +226,10 @@ def accuracy_gauge(rolling: DataFrame, window: int = WINDOW_SIZE) -> DataFrame:
 
 # ------------------------------------------------------------------ alert rules
 
-def _hold_state(df: DataFrame, keys: Sequence[str], t_col: str, cond_col: str, hold: str) -> DataFrame:
-    held = runs_of_true(df, keys, [t_col], cond_col, t_col, block_expr=_micros(F.col(t_col)).cast("double"))
-    hold_us = _seconds(hold) * 1_000_000
-    firing = F.col(cond_col) & ((_micros(F.col(t_col)) - _micros(F.col("run_start"))) >= F.lit(hold_us))
-    return held.withColumn("state", F.when(firing, F.lit("firing")).when(F.col(cond_col), F.lit("pending"))
-                           .otherwise(F.lit("inactive"))).drop("run_start")
+def _held(eval_ts: Column, hold: str) -> Column:
+    """The state of a row with ``condition`` and ``run_start`` evaluated at ``eval_ts``."""
+    firing = F.col("condition") & ((_micros(eval_ts) - _micros(F.col("run_start"))) >= F.lit(_seconds(hold) * 1_000_000))
+    return F.when(firing, F.lit("firing")).when(F.col("condition"), F.lit("pending")).otherwise(F.lit("inactive")).alias("state")
 
 
 #: Slots that one array of the evaluation grid holds at most.
@@ -242,14 +241,15 @@ def _slot_grid(events: DataFrame, keys: Sequence[str], ts_col: str, step_s: int,
     """Per series: one row per evaluation slot from its first event slot to its last + k - 1,
     with the per-slot aggregates (0 when the slot is empty)."""
     slot = F.floor(_micros(F.col(ts_col)) / F.lit(step_s * 1_000_000)).cast("long")
-    per = events.groupBy(*keys, slot.alias("slot")).agg(*aggs)
+    per = cut_lineage(events.groupBy(*keys, slot.alias("slot")).agg(*aggs))
     rng = per.groupBy(*keys).agg(F.min("slot").alias("_lo"), F.max("slot").alias("_hi"))
     # in two steps, so that no array is long, however far apart the first and last event are
     last = F.col("_hi") + (k - 1)
     steps = rng.select(*keys, last.alias("_last"), F.explode(F.sequence("_lo", last, F.lit(GRID_STEP))).alias("_from"))
     grid = steps.select(*keys, F.explode(F.sequence("_from", F.least(F.col("_from") + (GRID_STEP - 1), F.col("_last")))).alias("slot"))
     out = grid.join(per, list(keys) + ["slot"], "left")
-    return out.fillna(0, subset=[c for c in per.columns if c not in list(keys) + ["slot"]])
+    # read by the sizes of series and by the windows: the events are read once
+    return cut_lineage(out.fillna(0, subset=[c for c in per.columns if c not in list(keys) + ["slot"]]))
 
 
 def _eval_ts(step_s: int) -> Column:
@@ -267,10 +267,11 @@ def alert_error_rate(log: DataFrame, keys: Sequence[str] = ("model_version",), t
     k = max(1, w_s // step_s)
     errs = log.filter(F.col("error_type").isNotNull())
     grid = _slot_grid(errs, keys, ts_col, step_s, k, [F.count(F.lit(1)).alias("n")])
-    t = trailing_sums(grid, keys, ["slot"], ["n"], k, block_expr=F.col("slot").cast("double"))
-    ev = t.select(*keys, _eval_ts(step_s), (F.col("win_n") / F.lit(float(w_s))).alias("rate"))
-    ev = ev.withColumn("condition", F.col("rate") > F.lit(threshold))
-    return _hold_state(ev, keys, "eval_ts", "condition", hold).select(*keys, "eval_ts", "rate", "condition", "state")
+    windows = blocked(grid, keys, ["slot"]).trailing(["n"], k)
+    rate = F.col("win_n") / F.lit(float(w_s))
+    ev = windows.frame.select(*keys, "_blk", "slot", _eval_ts(step_s), rate.alias("rate"), (rate > F.lit(threshold)).alias("condition"))
+    held = replace(windows, frame=ev).runs("condition", "eval_ts").frame
+    return held.select(*keys, "eval_ts", "rate", "condition", _held(F.col("eval_ts"), hold))
 
 
 def histogram_quantile(q: float, counts: Column, bounds: Sequence[float]) -> Column:
@@ -308,12 +309,12 @@ def alert_p99_latency(log: DataFrame, keys: Sequence[str] = ("model_version", "e
     idx = _bucket_index(F.col(lat_col), bounds)
     nb = len(bounds) + 1
     grid = _slot_grid(obs, keys, ts_col, step_s, k, [F.count(F.when(idx == i, 1)).alias(f"b{i}") for i in range(nb)])
-    t = trailing_sums(grid, keys, ["slot"], [f"b{i}" for i in range(nb)], k, block_expr=F.col("slot").cast("double"))
+    windows = blocked(grid, keys, ["slot"]).trailing([f"b{i}" for i in range(nb)], k)
     counts = F.array(*[F.col(f"win_b{i}").cast("long") for i in range(nb)])
-    ev = t.select(*keys, _eval_ts(step_s), histogram_quantile(quantile, counts, bounds).alias("p_latency"))
+    ev = windows.frame.select(*keys, "_blk", "slot", _eval_ts(step_s), histogram_quantile(quantile, counts, bounds).alias("p_latency"))
     ev = ev.withColumn("condition", F.coalesce(F.col("p_latency") > F.lit(threshold), F.lit(False)))
-    return _hold_state(ev, keys, "eval_ts", "condition", hold).select(*keys, "eval_ts", "p_latency", "condition",
-                                                                       "state")
+    held = replace(windows, frame=ev).runs("condition", "eval_ts").frame
+    return held.select(*keys, "eval_ts", "p_latency", "condition", _held(F.col("eval_ts"), hold))
 
 
 def alert_data_drift(timeline: DataFrame, threshold: float = DRIFT_ALERT_THRESHOLD,
@@ -321,8 +322,9 @@ def alert_data_drift(timeline: DataFrame, threshold: float = DRIFT_ALERT_THRESHO
     """ALR-03: max drift score over all features at each evaluation (each time scores are
     written), condition > threshold held for ``hold``: (eval_ts, max_score, condition, state)."""
     ev = timeline.groupBy(F.col("ts").alias("eval_ts")).agg(F.max("score").alias("max_score"))
-    ev = ev.withColumn("condition", F.col("max_score") > F.lit(threshold))
-    return _hold_state(ev, [], "eval_ts", "condition", hold).select("eval_ts", "max_score", "condition", "state")
+    ev = cut_lineage(ev.withColumn("condition", F.col("max_score") > F.lit(threshold)))
+    held = runs_of_true(ev, [], ["eval_ts"], "condition", "eval_ts", block_expr=_micros(F.col("eval_ts")).cast("double"))
+    return held.select("eval_ts", "max_score", "condition", _held(F.col("eval_ts"), hold))
 
 
 def alert_accuracy(rolling: DataFrame, keys: Sequence[str] = ("model_version",), ts_col: str = "timestamp",
@@ -331,10 +333,6 @@ def alert_accuracy(rolling: DataFrame, keys: Sequence[str] = ("model_version",),
     update of the gauge: (keys..., eval_ts, rolling_accuracy, condition, state)."""
     keys = list(keys)
     ev = rolling.select(*keys, F.col(ts_col).cast("timestamp").alias("eval_ts"), "rolling_accuracy", "rn")
-    ev = ev.withColumn("condition", F.col("rolling_accuracy") < F.lit(threshold))
+    ev = cut_lineage(ev.withColumn("condition", F.col("rolling_accuracy") < F.lit(threshold)))
     held = runs_of_true(ev, keys, ["rn"], "condition", "eval_ts", block_expr=F.col("rn").cast("double"))
-    hold_us = _seconds(hold) * 1_000_000
-    firing = F.col("condition") & ((_micros(F.col("eval_ts")) - _micros(F.col("run_start"))) >= F.lit(hold_us))
-    return held.select(*keys, "eval_ts", "rolling_accuracy", "condition",
-                       F.when(firing, F.lit("firing")).when(F.col("condition"), F.lit("pending"))
-                       .otherwise(F.lit("inactive")).alias("state"))
+    return held.select(*keys, "eval_ts", "rolling_accuracy", "condition", _held(F.col("eval_ts"), hold))
