@@ -3,8 +3,9 @@ experiment log.
 
 Built-in ``pyspark.ml`` estimators for forest / tree / gradient boosting / logistic
 regression; boosted stumps (``boost.py``) and k-NN voting (``knn.py``) for the two
-algorithms Spark lacks. All metrics are Spark aggregates; only metric rows reach the
-driver.
+algorithms Spark lacks. Missing values are filled by the k-NN imputer, a fitted stage that is
+saved, promoted and loaded with the model. All metrics are Spark aggregates; only metric rows
+reach the driver.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from ..functions.exprs import recode_label
 from ..session import cut_lineage
 from . import metrics as M
 from .boost import BoostedStumps, BoostedStumpsModel
-from .impute import mean_imputer
-from .ranking import running_totals
+from .impute import KnnImputer, mean_imputer
 
 # ---- fixed values: candidates in their selection order (first wins ties) ----
 CANDIDATES = ["random_forest", "decision_tree", "gradient_boosting", "logistic_regression", "adaboost", "knn"]
@@ -56,14 +56,17 @@ def prepare(df: DataFrame, features: Sequence[str], target: str | None = "Result
     return df.select(*keep, *cols)
 
 
-def preprocessing_stages(features: Sequence[str]):
-    """Imputer (column means fit on training data) + VectorAssembler."""
+def preprocessing_stages(features: Sequence[str], imputer: str = "knn"):
+    """Imputer fit on training data (k nearest neighbours, or column means) + VectorAssembler."""
     from pyspark.ml.feature import VectorAssembler
-    return [mean_imputer(features), VectorAssembler(inputCols=list(features), outputCol="features")]
+    if imputer not in ("knn", "mean"):
+        raise ValueError(f"unknown imputer {imputer}")
+    first = KnnImputer(inputCols=list(features)) if imputer == "knn" else mean_imputer(features)
+    return [first, VectorAssembler(inputCols=list(features), outputCol="features")]
 
 
 class KnnVote:
-    """k-NN vote as an estimator over the imputed feature columns (exact, sharded)."""
+    """k-NN vote as an estimator over the imputed feature columns."""
 
     def __init__(self, k: int = 5):
         self.k = k
@@ -73,12 +76,13 @@ class KnnVote:
 
         # donors as rows of their own: equal vectors with equal labels are the same donor to a vote
         donors = df.select(vector_to_array("features").alias("x"), F.col("label").cast("long").alias("label"))
-        return KnnVoteModel(donors, self.k)
+        return KnnVoteModel(cut_lineage(donors), self.k)
 
 
 class KnnVoteModel:
     """The donors (x, label) and k. Every distinct vector of a frame is voted on once, and the
-    vote joined back on the vector itself."""
+    vote joined back on the vector itself. A donor's id is its vector as text, then its label, so ties
+    don't depend on partitions."""
 
     def __init__(self, donors: DataFrame, k: int):
         self.donors, self.k = donors, k
@@ -86,17 +90,16 @@ class KnnVoteModel:
     def transform(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        from .knn import knn_classify
+        from . import knn
         q = df.withColumn("_x", vector_to_array("features"))
-        # ids are the place in the order of the vectors, so they don't depend on partitions
-        d = cut_lineage(self.donors.select(F.col("x").alias("_d"), F.col("label").alias("_lab")))
-        d = running_totals(d.withColumn("_one", F.lit(1)), [], [F.col("_d"), F.col("_lab")], ["_one"], block_expr=F.element_at("_d", 1))
-        asked = cut_lineage(q.select("_x").distinct())
-        asked = cut_lineage(running_totals(asked.withColumn("_one", F.lit(1)), [], [F.col("_x")], ["_one"], block_expr=F.element_at("_x", 1)))
-        pred = knn_classify(asked.withColumnRenamed("cum__one", "_q"), d.withColumnRenamed("cum__one", "_i").withColumnRenamed("_d", "_x"),
-                            ["_x"], "_q", "_i", "_lab", k=self.k, features_are_array=True)
-        voted = asked.join(pred, F.col("cum__one") == F.col("_q")).select("_x", F.col("prediction").cast("double").alias("prediction"))
-        return q.join(voted, "_x", "left").drop("_x")
+        named = F.concat(F.array_join(F.transform("x", lambda v: v.cast("string")), ","), F.lit("|"), F.col("label").cast("string"))
+        counts = self.donors.groupBy("x", "label").agg(F.count(F.lit(1)).alias("n"))
+        groups = counts.select("x", "label", F.array_repeat(named, F.least(F.col("n"), F.lit(self.k)).cast("int")).alias("ids"))
+        asked = cut_lineage(q.select(F.col("_x").alias("x")).distinct())
+        best = knn.nearest(asked, groups, self.k, knn._width(asked), payload="label")
+        votes = best.select("x", F.explode("best").alias("b")).groupBy("x", F.col("b.value").alias("label")).agg(F.count(F.lit(1)).alias("v"))
+        voted = votes.groupBy("x").agg(F.max_by("label", F.struct(F.col("v"), -F.col("label"))).cast("double").alias("prediction"))
+        return q.join(voted.withColumnRenamed("x", "_vx"), F.col("_x") == F.col("_vx"), "left").drop("_x", "_vx")
 
     def save(self, path: str) -> None:
         self.donors.withColumn("k", F.lit(self.k)).write.mode("overwrite").parquet(path)
@@ -107,19 +110,34 @@ class KnnVoteModel:
         return cls(stored.drop("k"), int(stored.agg(F.max("k")).first()[0]))
 
 
-def fit_candidate(name: str, train: DataFrame, features: Sequence[str], seed: int = 42, **kw):
-    """Fit preprocessing + one candidate on ``train`` (prepared frame). Returns a model with
-    ``transform`` producing ``prediction``."""
+def fit_preprocessing(train: DataFrame, features: Sequence[str], imputer: str = "knn"):
+    """The fitted preprocessing stages, shared by all candidates."""
     from pyspark.ml import Pipeline
 
-    pre = Pipeline(stages=preprocessing_stages(features)).fit(train)
+    return Pipeline(stages=preprocessing_stages(features, imputer)).fit(train)
+
+
+def fit_candidate(name: str, train: DataFrame, features: Sequence[str], seed: int = 42, pre=None, assembled: DataFrame | None = None,
+                  imputer: str = "knn", **kw):
+    """Fit preprocessing + one candidate on ``train`` (prepared frame), or the candidate alone on
+    ``assembled``, what the fitted preprocessing ``pre`` made of it. Returns a model with
+    ``transform`` producing ``prediction``."""
+    from pyspark.ml import PipelineModel
+
+    if pre is None:
+        pre = fit_preprocessing(train, features, imputer)
+    if assembled is None:
+        assembled = cut_lineage(pre.transform(train))
     est = make_estimator(name, seed, **kw)
-    assembled = pre.transform(train)
-    if hasattr(est, "_java_obj") or name in ("random_forest", "decision_tree", "gradient_boosting",
-                                               "logistic_regression"):
-        from pyspark.ml import PipelineModel
-        return PipelineModel(stages=[*pre.stages, est.fit(assembled)])
-    return _Chained(pre, est.fit(assembled))
+    fitted = est.fit(assembled)
+    if hasattr(est, "_java_obj"):
+        return PipelineModel(stages=[*pre.stages, fitted])
+    return _Chained(pre, fitted)
+
+
+def last_stage(model):
+    """The classifier of a fitted candidate, for frames that are preprocessed already."""
+    return model.model if isinstance(model, _Chained) else model.stages[-1]
 
 
 class _Chained:
@@ -147,24 +165,20 @@ def evaluate(model, df: DataFrame) -> DataFrame:
 
 def select_best_model(train: DataFrame, test: DataFrame, features: Sequence[str],
                       candidates: Sequence[str] = CANDIDATES, params: dict | None = None, seed: int = 42):
-    """ML-09: fit every candidate on the (cached) training frame, score train and test,
+    """ML-09: fit every candidate on the imputed training frame, score train and test,
     return (metric table DataFrame, {name: model}, best name). The metric table has one
     row per candidate with its order, train/test F1, precision and recall."""
     spark = train.sparkSession
     params = params or {}
-    train, test = train.cache(), test.cache()
     rows, models = [], {}
-    try:
-        for order, name in enumerate(candidates):
-            model = fit_candidate(name, train, features, seed, **params.get(name, {}))
-            models[name] = model
-            tr = evaluate(model, train).first()
-            te = evaluate(model, test).first()
-            rows.append((name, order, tr["f1_score"], te["f1_score"], tr["precision_score"], te["precision_score"],
-                         tr["recall_score"], te["recall_score"], te["accuracy"]))
-    finally:
-        train.unpersist()
-        test.unpersist()
+    # fitted once, and both frames filled once: every candidate reads the stored rows
+    pre = fit_preprocessing(train, features)
+    ready = [cut_lineage(pre.transform(f)) for f in (train, test)]
+    for order, name in enumerate(candidates):
+        model = models[name] = fit_candidate(name, train, features, seed, pre, ready[0], **params.get(name, {}))
+        tr, te = (evaluate(last_stage(model), f).first() for f in ready)
+        rows.append((name, order, tr["f1_score"], te["f1_score"], tr["precision_score"], te["precision_score"],
+                     tr["recall_score"], te["recall_score"], te["accuracy"]))
     table = spark.createDataFrame(rows, "model string, candidate_order int, train_f1 double, f1_score double, train_precision double, "
                                         "precision_score double, train_recall double, recall_score double, accuracy double")
     best = M.best_by_metric(table).first()["best_model"]

@@ -86,13 +86,48 @@ def q_knn_classify(spark, sf_dir):
 @register("knn_impute")
 def q_knn_impute(spark, sf_dir):
     """ML-01: k=3 NaN-aware nearest-neighbour imputation of every row of the feature table,
-    donors = the baseline rows (checked against brute force in tests)."""
-    ph = fixture_df(spark, sf_dir, "phish").withColumn("rid", F.xxhash64("row_key"))
+    donors = the baseline rows (checked against brute force in tests, and on a smaller table by
+    ``knn_impute_customer``)."""
+    ph = fixture_df(spark, sf_dir, "phish")
     donors = ph.filter("side = 'baseline'")
-    out = knn.knn_impute(ph, donors, FEATURE_COLUMNS, "row_key", "rid", k=3)
+    out = knn.knn_impute(ph, donors, FEATURE_COLUMNS, "row_key", k=3)
     return out.select("row_key", "side", *FEATURE_COLUMNS)
 
 
+#: Numbers of a customer, a part of them missing.
+_CUSTOMER = """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS nation,
+       CASE WHEN c_custkey % 5 <> 1 THEN CAST(round(c_acctbal / 1000) AS DOUBLE) END AS balance,
+       CASE WHEN c_custkey % 11 <> 3 THEN CAST(length(c_name) + c_custkey % 4 AS DOUBLE) END AS tier,
+       CASE WHEN c_custkey % 3 <> 2 THEN CAST((c_custkey * 37) % 101 AS DOUBLE) END AS score
+FROM @customer"""
+_CUSTOMER_FEATURES = ["nation", "balance", "tier", "score"]
+
+
+def _customer_impute_sql() -> str:
+    f = _CUSTOMER_FEATURES
+    shared = " + ".join(f"(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)::INT" for c in f)
+    total = " + ".join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0)" for c in f)
+    fills = ",\n".join(f"""f_{c} AS (SELECT id, avg(v) AS v FROM (
+  SELECT q AS id, v_{c} AS v, row_number() OVER (PARTITION BY q ORDER BY dist, d) AS r FROM pairs WHERE miss_{c} AND v_{c} IS NOT NULL)
+  WHERE r <= 3 GROUP BY id)""" for c in f)
+    return "WITH rows AS (" + _CUSTOMER.replace("@", "") + f"""),
+pairs AS (SELECT q.id AS q, d.id AS d, sqrt(({total}) * {len(f)} / ({shared})) AS dist,
+                 {", ".join(f"q.{c} IS NULL AS miss_{c}, d.{c} AS v_{c}" for c in f)}
+          FROM rows q, rows d WHERE ({shared}) > 0),
+{fills}
+SELECT rows.id, {", ".join(f"coalesce(rows.{c}, f_{c}.v, (SELECT avg({c}) FROM rows)) AS {c}" for c in f)}
+FROM rows {" ".join(f"LEFT JOIN f_{c} ON f_{c}.id = rows.id" for c in f)}"""
+
+
+@register("knn_impute_customer", _customer_impute_sql())
+def q_knn_impute_customer(spark, sf_dir):
+    """ML-01 on all customers, each the donor of the others: the same operator where all pairs can be
+    compared in SQL."""
+    rows = spark.sql(_CUSTOMER.replace("@customer", "{customer}"), customer=load_table(spark, sf_dir, "customer"))
+    return knn.knn_impute(rows, rows, _CUSTOMER_FEATURES, "id", k=3)
+
+
 @register("select_best_model")
 def q_select_best_model(spark, sf_dir):
     """ML-09: fit all six candidates on the training split; metric table with gates and the
