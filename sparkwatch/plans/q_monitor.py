@@ -64,7 +64,7 @@ def q_concept_drift(spark, sf_dir):
     return MO.concept_drift(MO.rolling_accuracy(view(spark, sf_dir)))
 
 
-@register("drift_check_interval", with_clause("pred") + f""",
+DRIFT_CHECK_SQL = with_clause("pred") + f""",
 b AS (SELECT model_version, CAST(prediction AS VARCHAR) AS class,
              count(*) / sum(count(*)) OVER (PARTITION BY model_version) AS p_b
       FROM pred WHERE ts < TIMESTAMP '{CUT}' GROUP BY model_version, prediction),
@@ -76,7 +76,10 @@ tot AS (SELECT model_version, block, sum(n_c) AS n FROM cc GROUP BY ALL),
 g AS (SELECT tot.*, b.class, b.p_b FROM tot JOIN b USING (model_version))
 SELECT g.model_version, g.block, g.n, round(sum(abs(coalesce(cc.n_c / g.n, 0) - g.p_b)), 6) AS class_distribution_shift,
        sum(abs(coalesce(cc.n_c / g.n, 0) - g.p_b)) > 0.2 AS model_drift_detected
-FROM g LEFT JOIN cc USING (model_version, block, class) GROUP BY g.model_version, g.block, g.n""")
+FROM g LEFT JOIN cc USING (model_version, block, class) GROUP BY g.model_version, g.block, g.n"""
+
+
+@register("drift_check_interval", DRIFT_CHECK_SQL)
 def q_drift_check_interval(spark, sf_dir):
     """DRF-12: prediction-share shift of every block of 50 current predictions per version."""
     b, c = _pred_sides(spark, sf_dir)
