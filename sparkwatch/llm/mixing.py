@@ -133,7 +133,7 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeats: int =
     last = _last_finish(targets, sized.groupBy("src").agg(F.max("size").alias("largest")), max_repeats)
     passes = sized.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     passes = passes.withColumn("low", copies_by(one, F.col("pass"))).withColumn(
-        "high", F.least(copies_by(F.floor(F.col("target") * last) + 1, F.col("pass")) + 1, F.col("copies")))
+        "high", copies_by(F.floor(F.col("target") * last) + 1, F.col("pass")))
     near = passes.where("high > low").withColumn("copy", F.explode(F.sequence(F.col("low") + 1, F.col("high"))))
     near = near.withColumn("finish", (F.col("upto") - F.col("tokens") + F.col("copy") * F.col("size") + F.col("pass") * F.col("source_size"))
                            .cast("double") / F.col("target"))
