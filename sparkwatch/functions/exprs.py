@@ -1,8 +1,9 @@
-"""Column expressions shared by the operators. All are built-in Spark expressions
-(JVM side, whole-stage codegen); no Python UDFs."""
+"""Column expressions shared by the operators: built-in Spark expressions (JVM side, whole-stage
+codegen), and the exact p-value of small samples, a plain function for one row per feature."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,5 +60,20 @@ def kolmogorov_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Co
     return F.when(lam.isNull(), F.lit(None).cast("double")).when(lam < 0.2, F.lit(1.0)).otherwise(p)
 
 
-def round6(c: Column) -> Column:
-    return F.round(c, 6)
+def exact_ks_pvalue(d: float, n1: int, n2: int) -> float:
+    """P(D >= d) of two samples without ties: one less the share of lattice paths from (0, 0) to
+    (n1, n2) that stay where abs(x / n1 - y / n2) < d. Shares are formed diagonal by diagonal, as
+    probabilities that a random path is inside, so that nothing overflows."""
+    x = np.arange(n1 + 1)
+    # x and y count in units of 1 / (n1 * n2): whole numbers, and a bound between two of them
+    bound = np.ceil(d * n1 * n2 - 1e-6)
+    share = np.zeros(n1 + 1)
+    share[0] = 1.0 if bound > 0 else 0.0
+    for s in range(1, n1 + n2 + 1):
+        # a path to (x, s - x) comes from (x - 1, s - x) with probability x / s
+        step = np.zeros(n1 + 1)
+        step[1:] = share[:-1] * x[1:] / s
+        share = step + share * (s - x) / s
+        y = s - x
+        share[(y < 0) | (y > n2) | (np.abs(x * n2 - y * n1) >= bound)] = 0.0
+    return float(min(1.0, max(0.0, 1.0 - share[n1])))

@@ -18,10 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.exprs import histogram_bin, kolmogorov_pvalue, linspace
+from ..functions.exprs import exact_ks_pvalue, histogram_bin, kolmogorov_pvalue, linspace
 from ..session import cut_lineage
 from .ranking import exact_percentiles, percentile_array, running_totals
 
@@ -141,10 +143,16 @@ def psi(baseline: DataFrame, current: DataFrame, features: Sequence[str],
                     F.when(ok, F.col("_s")).alias("score"), status))
 
 
+@F.pandas_udf(T.DoubleType())
+def _exact_pvalues(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else exact_ks_pvalue(x, int(a), int(b)) for x, a, b in zip(d, n1, n2)], dtype="float64")
+
+
 def ks(baseline: DataFrame, current: DataFrame, features: Sequence[str],
-       blocks: int | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per feature:
-    (feature, n_baseline, n_current, score, p_value, status)."""
+       blocks: int | None = None, counts: DataFrame | None = None, exact_cells: int = 0) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic and p-value per feature: (feature, n_baseline,
+    n_current, score, p_value, status). The p-value is the asymptotic one, or the exact one (of
+    samples without ties) where n_baseline * n_current is at most ``exact_cells``."""
     counts = counts if counts is not None else pair_counts(baseline, current, features)
     totals = _side_totals(counts, features)
     cum = running_totals(counts, ["feature"], ["value"], ["c_b", "c_c"], blocks=blocks)
@@ -153,9 +161,12 @@ def ks(baseline: DataFrame, current: DataFrame, features: Sequence[str],
                                              - F.try_divide(F.col("cum_c_c"), F.col("n_current")))).alias("_d")))
     ok, status = _status()
     out = totals.join(d, "feature", "left")
-    return out.select("feature", "n_baseline", "n_current", F.when(ok, F.col("_d")).alias("score"),
-                      F.when(ok, kolmogorov_pvalue(F.col("_d"), F.col("n_baseline"), F.col("n_current")))
-                      .alias("p_value"), status)
+    n1, n2 = F.col("n_baseline"), F.col("n_current")
+    p = kolmogorov_pvalue(F.col("_d"), n1, n2)
+    if exact_cells:
+        small = n1 * n2 <= exact_cells
+        p = F.when(small, _exact_pvalues(F.when(ok & small, F.col("_d")), n1, n2)).otherwise(p)
+    return out.select("feature", "n_baseline", "n_current", F.when(ok, F.col("_d")).alias("score"), F.when(ok, p).alias("p_value"), status)
 
 
 def js(baseline: DataFrame, current: DataFrame, features: Sequence[str],
@@ -210,16 +221,17 @@ def data_drift_summary(per_feature: DataFrame) -> DataFrame:
 
 
 def validation_drift(base_df: DataFrame, current_df: DataFrame, alpha: float = KS_PVALUE_ALPHA,
-                     blocks: int | None = None) -> DataFrame:
-    """KS p-value test per numeric column present in both tables:
-    (column, p_value, drift_status) with drift_status 'true'/'false'/'insufficient_data'."""
+                     blocks: int | None = None, exact_cells: int = 0) -> DataFrame:
+    """KS p-value test per numeric column present in both tables (exact p-values up to
+    ``exact_cells`` as in ``ks``): (column, p_value, drift_status) with drift_status
+    'true'/'false'/'insufficient_data'."""
     numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
     bt = dict(base_df.dtypes)
     ct = dict(current_df.dtypes)
     cols = [c for c in base_df.columns if c in ct
             and (bt[c] in numeric or bt[c].startswith("decimal"))
             and (ct[c] in numeric or ct[c].startswith("decimal"))]
-    res = ks(base_df, current_df, cols, blocks=blocks)
+    res = ks(base_df, current_df, cols, blocks=blocks, exact_cells=exact_cells)
     return res.select(F.col("feature").alias("column"), "p_value",
                       F.when(F.col("status") == "insufficient_data", F.lit("insufficient_data"))
                       .when(F.col("p_value") < alpha, F.lit("true")).otherwise(F.lit("false"))

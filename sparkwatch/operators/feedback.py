@@ -107,11 +107,35 @@ def serialize_features(c: Column) -> Column:
     return F.to_json(c)
 
 
-def expand_features(df: DataFrame, keys: Sequence[str], map_col: str = "features",
-                    label_col: str | None = "actual_label", target: str = "Result") -> DataFrame:
-    """PRJ-07: one column per declared key (absent key -> NULL; keys that aren't declared are
-    left out) plus the label as ``target``."""
-    cols = [F.col(map_col)[k].alias(k) for k in keys]
+#: Columns that the keys of payloads may become.
+MAX_KEYS = 2_000
+
+
+def feature_keys(df: DataFrame, map_col: str = "features") -> DataFrame:
+    """PRJ-07: (key, n_rows, n_numbers): the keys that payloads hold, in how many rows, and with how
+    many values that are numbers. Combined before the shuffle: one row per key."""
+    pairs = df.select(F.explode(F.col(map_col)).alias("key", "value"))
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.expr("try_cast(value as double)")).alias("n_numbers"))
+
+
+def expand_features(df: DataFrame, keys: Sequence[str] | None = None, map_col: str = "features", label_col: str | None = "actual_label",
+                    target: str = "Result", undeclared: str = "raise", keep: Sequence[str] = ()) -> DataFrame:
+    """PRJ-07: ``keep``, one double column per key (absent key -> NULL) and the label as ``target``.
+    Without ``keys`` the columns are the union of the keys that the rows hold, in their order;
+    more than MAX_KEYS are an error. With ``keys``, a row that holds another key is an error when
+    it is read, unless ``undeclared`` is "drop"; ``feature_keys`` counts what there is."""
+    if undeclared not in ("raise", "drop"):
+        raise ValueError("undeclared is 'raise' or 'drop'")
+    if keys is None:
+        found = [r["key"] for r in feature_keys(df, map_col).select("key").limit(MAX_KEYS + 1).collect()]
+        if len(found) > MAX_KEYS:
+            raise ValueError(f"the rows hold more than {MAX_KEYS} feature keys")
+        keys = sorted(found)
+    elif undeclared == "raise":
+        other = F.filter(F.map_keys(map_col), lambda k: ~k.isin(list(keys)))
+        message = F.concat(F.lit("feature keys that aren't declared: "), F.array_join(other, ", "))
+        df = df.filter(F.when(F.coalesce(F.size(other), F.lit(0)) > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    cols = [*[F.col(c) for c in keep], *[F.col(map_col)[k].try_cast("double").alias(k) for k in keys]]
     if label_col:
         cols.append(F.col(label_col).alias(target))
     return df.select(*cols)

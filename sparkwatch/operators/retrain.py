@@ -164,14 +164,26 @@ def append_run(runs_path: str, spark, run_ts, trigger_type: str, reason: str, st
     row.write.mode("append").parquet(runs_path)
 
 
-def data_version(df: DataFrame) -> DataFrame:
-    """RET-09: order-free content fingerprint (n_rows, hash_sum, hash_xor): each row is hashed as
-    text with every column's position, and a mark of its own for NULL, and the hashes are added
-    up; independent of row order and partitioning."""
-    parts = [F.concat(F.lit(f"{i}="), F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")))
-             for i, c in enumerate(df.columns)]
-    h = F.md5(F.concat_ws("|", *parts))
-    number = lambda start: F.conv(F.substring(h, start, 15), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(number(1).cast("decimal(38,0)")).cast("string").alias("hash_sum"),
-                  F.bit_xor(number(16)).alias("hash_xor"))
+VERSION_COLUMNS = ("n_rows", "hash_sum", "hash_sum2")
+
+
+def data_version(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """RET-09: order-free content version (by..., n_rows, hash_sum, hash_sum2). Each row is written as
+    text, every value behind its length and NULL as a mark of its own, so that no two rows read
+    alike; two 60-bit parts of its hash are added up. Sums don't depend on row order and
+    partitioning, repeated rows count as often as they occur, and versions of parts add up to the
+    version of the whole (``add_versions``). With ``by``, e.g. a snapshot id, a version for each
+    group, over the other columns."""
+    values = [F.col(f"`{c}`").cast("string") for c in df.columns if c not in by]
+    h = F.md5(F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("n")) for v in values]))
+    number = lambda start: F.conv(F.substring(h, start, 15), 16, 10).cast("long").cast("decimal(38,0)")
+    total = lambda start: F.coalesce(F.sum(number(start)), F.lit(0)).cast("decimal(38,0)").cast("string")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), total(1).alias("hash_sum"), total(16).alias("hash_sum2"))
+
+
+def add_versions(versions: DataFrame, sign: str | None = None) -> DataFrame:
+    """The version of all parts together, from theirs; parts whose ``sign`` is -1 are taken away. So a
+    version is kept up to date by the rows that come and go, and the others aren't read."""
+    s = F.col(sign) if sign else F.lit(1)
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(38,0)") * s), F.lit(0)).cast("decimal(38,0)")
+    return versions.agg(total("n_rows").cast("long").alias("n_rows"), *[total(c).cast("string").alias(c) for c in VERSION_COLUMNS[1:]])

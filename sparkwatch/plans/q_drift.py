@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import fixture_df, with_clause
+from ..fixtures import fixture_df, load_table, with_clause
 from ..operators import drift, profile
 from ..operators import validate as V
 from ..schema import FEATURE_COLUMNS
@@ -210,3 +210,32 @@ def q_model_drift(spark, sf_dir):
     b = pred.filter(F.col("ts") < cut)
     c = pred.filter(F.col("ts") >= cut)
     return drift.model_drift(b, c)
+
+
+_ACCOUNTS = ("SELECT s_acctbal AS balance, s_nationkey AS nation FROM @supplier", "SELECT c_acctbal AS balance, c_nationkey AS nation FROM @customer")
+
+
+@register("ks_pvalue_exact", f"""
+WITH RECURSIVE b AS ({_ACCOUNTS[0].replace("@", "")}), c AS ({_ACCOUNTS[1].replace("@", "")}),
+l AS (SELECT 'b' AS side, * FROM (UNPIVOT (SELECT balance::DOUBLE AS balance, nation::DOUBLE AS nation FROM b) ON balance, nation INTO NAME feature VALUE v)
+      UNION ALL SELECT 'c', * FROM (UNPIVOT (SELECT balance::DOUBLE AS balance, nation::DOUBLE AS nation FROM c) ON balance, nation INTO NAME feature VALUE v)),
+n AS (SELECT feature, count(*) FILTER (side = 'b') AS n1, count(*) FILTER (side = 'c') AS n2 FROM l GROUP BY feature),
+cdf AS (SELECT feature, v, sum(count(*) FILTER (side = 'b')) OVER (PARTITION BY feature ORDER BY v) AS k1,
+               sum(count(*) FILTER (side = 'c')) OVER (PARTITION BY feature ORDER BY v) AS k2 FROM l GROUP BY feature, v),
+d AS (SELECT feature, n1, n2, max(abs(k1 / n1 - k2 / n2)) AS d, ceil(max(abs(k1 / n1 - k2 / n2)) * n1 * n2 - 1e-6) AS bound
+      FROM cdf JOIN n USING (feature) GROUP BY feature, n1, n2),
+walk AS (
+  SELECT feature, 0::BIGINT AS s, 0::BIGINT AS x, 1.0::DOUBLE AS u FROM d
+  UNION ALL
+  SELECT feature, s + 1, nx, sum(u * share) FROM (
+    SELECT walk.feature, s, x + dx AS nx, u, CASE dx WHEN 1 THEN (x + 1) / (s + 1) ELSE (s + 1 - x) / (s + 1) END AS share, n1, n2, bound
+    FROM walk JOIN d USING (feature), (VALUES (0), (1)) AS t(dx))
+  WHERE nx <= n1 AND s + 1 - nx <= n2 AND abs(nx * n2 - (s + 1 - nx) * n1) < bound GROUP BY feature, s + 1, nx)
+SELECT d.feature, n1 AS n_baseline, n2 AS n_current, round(d, 6) AS score, round(1 - coalesce(u, 0), 6) AS p_value
+FROM d LEFT JOIN walk ON walk.feature = d.feature AND s = n1 + n2 AND x = n1""")
+def q_ks_pvalue_exact(spark, sf_dir):
+    """DRF-02 by counting lattice paths: balances and nations of all suppliers against all customers."""
+    b, c = (spark.sql(q.replace("@supplier", "{supplier}").replace("@customer", "{customer}"), supplier=load_table(spark, sf_dir, "supplier"),
+                      customer=load_table(spark, sf_dir, "customer")) for q in _ACCOUNTS)
+    out = drift.ks(b, c, ["balance", "nation"], exact_cells=1_000_000_000)
+    return out.select("feature", "n_baseline", "n_current", F.round("score", 6).alias("score"), F.round("p_value", 6).alias("p_value"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import fixture_df, with_clause
+from ..fixtures import fixture_df, load_table, with_clause
 from ..functions.exprs import class_name, recode_label
 from ..operators import feedback as FB
 from ..operators import metrics as M
 from ..operators import retrain as R
 from ..operators.ranking import running_totals
 from ..schema import FEATURE_COLUMNS
+from ..session import cut_lineage, scratch_path
 from .registry import entries_text, register
 
 # DuckDB twin of the feedback view: latest prediction per id, latest label per id,
@@ -95,7 +96,7 @@ def q_labeled_version(spark, sf_dir):
 def q_labeled_recent(spark, sf_dir):
     """SRT-01: labeled rows newest first; the position is computed with distributed running
     counts (blocked on time), not a single-partition window."""
-    lab = FB.labeled_data(view(spark, sf_dir), parse=False).select("request_id", "timestamp").withColumn("one", F.lit(1))
+    lab = cut_lineage(FB.labeled_data(view(spark, sf_dir), parse=False).select("request_id", "timestamp").withColumn("one", F.lit(1)))
     neg_ts = -F.unix_micros(F.col("timestamp").cast("timestamp"))
     ranked = running_totals(lab, [], [F.col("timestamp").desc(), F.col("request_id")], ["one"], block_expr=neg_ts.cast("double"))
     return ranked.select("request_id", "timestamp", F.col("cum_one").cast("long").alias("recency_rank"))
@@ -142,6 +143,38 @@ def q_expand_features(spark, sf_dir):
     return FB.expand_features(lab, FEEDBACK_KEYS)
 
 
+#: Payloads of three shapes, and none.
+_SHAPES = """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('{"k": ', CAST(user_id AS STRING), '}')
+                                   WHEN 1 THEN concat('{"k": ', CAST(user_id AS STRING), ', "extra key": 0.5}')
+                                   WHEN 2 THEN concat('{"late": ', CAST(event_id % 9 AS STRING), ', "text": "no number"}')
+                                   WHEN 3 THEN '{}' END AS payload, event_id % 2 AS actual_label
+FROM @events"""
+
+
+def _shapes(spark, sf_dir):
+    text = _SHAPES.replace("{", "{{").replace("}", "}}").replace("@events", "{events}")
+    rows = spark.sql(text, events=load_table(spark, sf_dir, "events"))
+    return rows.withColumn("features", F.from_json("payload", "map<string,string>"))
+
+
+@register("feature_keys", "WITH s AS (" + _SHAPES.replace("@", "").replace("STRING", "VARCHAR") + """)
+SELECT "key", count(*) AS n_rows, count(TRY_CAST(json_extract_string(payload, '$."' || "key" || '"') AS DOUBLE)) AS n_numbers
+FROM (SELECT payload, unnest(json_keys(payload)) AS "key" FROM s) GROUP BY "key\"""")
+def q_feature_keys(spark, sf_dir):
+    """PRJ-07: the keys that payloads of any shape hold, with the rows and numbers of each."""
+    return FB.feature_keys(_shapes(spark, sf_dir))
+
+
+@register("expand_features_union", "WITH s AS (" + _SHAPES.replace("@", "").replace("STRING", "VARCHAR") + """)
+SELECT event_id, TRY_CAST(json_extract_string(payload, '$."extra key"') AS DOUBLE) AS "extra key", TRY_CAST(json_extract_string(payload, '$.k') AS DOUBLE) AS k,
+       TRY_CAST(json_extract_string(payload, '$.late') AS DOUBLE) AS late, TRY_CAST(json_extract_string(payload, '$.text') AS DOUBLE) AS text,
+       actual_label AS Result FROM s""")
+def q_expand_features_union(spark, sf_dir):
+    """PRJ-07: one column for each key that any payload holds, absent ones NULL."""
+    return FB.expand_features(_shapes(spark, sf_dir), keep=["event_id"])
+
+
 @register("recode_label", with_clause("phish") + """
 SELECT row_key, CASE WHEN Result = -1 THEN 0 ELSE Result END AS label FROM phish""")
 def q_recode_label(spark, sf_dir):
@@ -351,21 +384,36 @@ def q_retrain_run_log(spark, sf_dir):
 
 
 _VERSION_COLS = [*FEATURE_COLUMNS, "Result"]
-_ROW_TEXT = " || '|' || ".join(f"'{i}=' || coalesce('v' || CAST({c} AS VARCHAR), 'n')" for i, c in enumerate(_VERSION_COLS))
-
-
-@register("data_version", FV.rstrip() + ",\n" + with_clause("phish")[5:].rstrip() + f""",
+_ROW_TEXT = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in [*_VERSION_COLS, "k"])
+_VERSION_SQL = FV.rstrip() + ",\n" + with_clause("phish")[5:].rstrip() + f""",
 u AS ({_ORIG}
 UNION ALL
 {_fb_rows_sql()}),
-h AS (SELECT md5({_ROW_TEXT} || '|{len(_VERSION_COLS)}=' || coalesce('v' || CAST(k AS VARCHAR), 'n')) AS h FROM u)
+h AS (SELECT md5({_ROW_TEXT}) AS h FROM u)
 SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(h, 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR) AS hash_sum,
-       bit_xor(('0x' || substr(h, 16, 15))::BIGINT) AS hash_xor FROM h""")
+       CAST(sum(CAST(('0x' || substr(h, 16, 15))::BIGINT AS HUGEINT)) AS VARCHAR) AS hash_sum2 FROM h"""
+
+
+@register("data_version", _VERSION_SQL)
 def q_data_version(spark, sf_dir):
-    """RET-09: order-free fingerprint of the full retraining set."""
+    """RET-09: order-free version of the full retraining set."""
     return R.data_version(R.retrain_full(_original(spark, sf_dir), view(spark, sf_dir), FEEDBACK_KEYS))
 
 
+@register("data_version_incremental", _VERSION_SQL)
+def q_data_version_incremental(spark, sf_dir):
+    """RET-09, kept up to date: stored versions of snapshots of the retraining set (the original rows,
+    the feedback, and rows that were in it by mistake and are taken away again) add up to its version."""
+    original = _original(spark, sf_dir)
+    full = R.retrain_full(original, view(spark, sf_dir), FEEDBACK_KEYS)
+    parts = full.withColumn("snapshot_id", F.when(F.col("k").isNull(), "original").otherwise("feedback"))
+    mistake = full.where(F.col("k").isNotNull()).withColumn("snapshot_id", F.lit("mistake"))
+    path = scratch_path(spark, "versions")
+    R.data_version(parts.unionByName(mistake), ["snapshot_id"]).withColumn("sign", F.lit(1)).write.parquet(path)
+    R.data_version(mistake, ["snapshot_id"]).withColumn("sign", F.lit(-1)).write.mode("append").parquet(path)
+    return R.add_versions(spark.read.parquet(path), "sign")
+
+
 # ------------------------------------------------------------------ metrics and gates
 
 _LONG = with_clause("scored") + """,

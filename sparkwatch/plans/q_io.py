@@ -229,7 +229,7 @@ SELECT CASE side WHEN 'baseline' THEN 'train' ELSE 'test' END AS split,
 FROM sp GROUP BY ALL""")
 def q_route_valid_invalid(spark, sf_dir):
     """VAL-05: the verdict (drift found -> not ok) sends both splits to the invalid folder;
-    rows failing the type check are quarantined separately. Counts read back per folder."""
+    rows failing the type check are quarantined separately. One write; counts read back per folder."""
     sp = _string_phish(spark, sf_dir)
     tr, te = sp.filter("side = 'baseline'").drop("row_key", "side"), sp.filter("side = 'current'").drop("row_key", "side")
     ph = fixture_df(spark, sf_dir, "phish")
@@ -237,14 +237,8 @@ def q_route_valid_invalid(spark, sf_dir):
                                  ph.filter("side = 'current'").drop("row_key", "side"), feature_schema(),
                                  FEATURE_COLUMNS).filter("check = 'verdict'").first()["ok"]
     root = scratch_path(spark, "validated")
-    V.route_valid_invalid(tr, te, verdict, f"{root}/valid", f"{root}/invalid", schema=feature_schema())
-    out = None
-    for split_name in ("train", "test"):
-        for sub, route in ((f"{split_name}_rows", "invalid"), (split_name, "invalid_verdict")):
-            df = spark.read.parquet(f"{root}/invalid/{sub}").agg(F.count(F.lit(1)).alias("n")).select(
-                F.lit(split_name).alias("split"), F.lit(route).alias("route"), "n")
-            out = df if out is None else out.unionByName(df)
-    return out.filter("n > 0")
+    V.route_valid_invalid(tr, te, verdict, root, schema=feature_schema())
+    return spark.read.parquet(root).groupBy("split", "route").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ split and mean imputation

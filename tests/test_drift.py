@@ -143,3 +143,36 @@ def test_single_class_model_drift(spark):
     c = spark.createDataFrame([(0,)] * 4, "prediction int")
     r = drift.model_drift(b, c).first()
     assert r["class_distribution_shift"] == pytest.approx(1.0) and r["model_drift_detected"] is True
+
+
+def test_exact_pvalues_equal_all_permutations():
+    """Every way to deal the ranks to two samples is as likely as any other."""
+    from itertools import combinations
+
+    from sparkwatch.functions.exprs import exact_ks_pvalue
+
+    for n1, n2 in ((1, 1), (2, 3), (4, 4), (3, 6)):
+        found = []
+        for own in combinations(range(n1 + n2), n1):
+            a = b = 0
+            most = 0
+            for i in range(n1 + n2):
+                a, b = (a + 1, b) if i in own else (a, b + 1)
+                most = max(most, abs(a * n2 - b * n1))
+            found.append(most)
+        for most in set(found):
+            assert exact_ks_pvalue(most / (n1 * n2), n1, n2) == pytest.approx(sum(f >= most for f in found) / len(found))
+    assert exact_ks_pvalue(0.0, 5, 7) == 1.0 and exact_ks_pvalue(1.0, 300, 200) < 1e-100 + 1e-12
+    # towards the asymptotic series for large samples
+    lam = 0.05 * math.sqrt(3000 * 2000 / 5000)
+    series = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 50))
+    assert exact_ks_pvalue(0.05, 3000, 2000) == pytest.approx(series, rel=0.1)
+
+
+def test_exact_and_asymptotic_by_size(spark):
+    b, c = frame(spark, [1, 2, 3, 4]), frame(spark, [3.5, 4.5, 5, 6, 7])
+    exact = drift.ks(b, c, ["x"], exact_cells=20).first()
+    other = drift.ks(b, c, ["x"], exact_cells=19).first()
+    assert exact["p_value"] != other["p_value"] and exact["score"] == other["score"]
+    empty = drift.ks(b, c.limit(0), ["x"], exact_cells=20).first()
+    assert empty["p_value"] is None and empty["status"] == "insufficient_data"

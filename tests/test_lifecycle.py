@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sparkwatch.operators import feedback as FB
@@ -61,6 +62,45 @@ def test_retraining_job(spark, table, tmp_path):
         retrain_job(spark, table, view, as_of="2024-02-05 00:00:00", min_samples=5, **args)
 
 
+def test_versions_add_up_and_tell_values_apart(spark):
+    version = lambda rows, schema="a string, b string": retrain.data_version(spark.createDataFrame(rows, schema)).first()
+    assert version([("a|1=vb", "c")]) != version([("a", "b|1=vc")]) and version([("1", None)]) != version([("", "n")])
+    assert version([("x", "y"), ("x", "y")]) != version([("x", "y")]) and version([])["n_rows"] == 0
+    a, b = [("x", "1"), ("y", None)], [("z", "2"), ("x", "1")]
+    parts = spark.createDataFrame([(r, 1) for r in a + b], "r struct<a:string,b:string>, sign int")
+    whole = version(a + b)
+    both = retrain.data_version(spark.createDataFrame(a, "a string, b string")).unionByName(retrain.data_version(spark.createDataFrame(b, "a string, b string")))
+    assert retrain.add_versions(both).first() == whole and parts.count() == 4
+    signed = both.withColumn("sign", F.lit(1)).unionByName(retrain.data_version(spark.createDataFrame(b, "a string, b string")).withColumn("sign", F.lit(-1)))
+    assert retrain.add_versions(signed, "sign").first() == version(a)
+
+
+def test_feature_keys_of_any_shape(spark):
+    df = spark.createDataFrame([({"k": "1", "x y": "0.5"}, 1), ({"z": "word"}, 0), ({}, 1), (None, 0)], "features map<string,string>, actual_label int")
+    assert {(r["key"], r["n_rows"], r["n_numbers"]) for r in FB.feature_keys(df).collect()} == {("k", 1, 1), ("x y", 1, 1), ("z", 1, 0)}
+    union = FB.expand_features(df)
+    assert union.columns == ["k", "x y", "z", "Result"]
+    assert sorted(map(tuple, union.collect()), key=str) == sorted([(1.0, 0.5, None, 1), (None, None, None, 0), (None, None, None, 1), (None, None, None, 0)], key=str)
+    assert FB.expand_features(df, ["k"], undeclared="drop").count() == 4
+    with pytest.raises(PySparkException, match="aren't declared: x y|aren't declared: z"):
+        FB.expand_features(df, ["k"]).collect()
+    assert FB.expand_features(df.limit(0)).columns == ["Result"]
+
+
+def test_routes_are_one_write(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from sparkwatch.operators import validate
+
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    train = spark.createDataFrame([("1",), ("x",), (None,)], "a string")
+    test = spark.createDataFrame([("2",), ("3",)], "a string")
+    paths = validate.route_valid_invalid(train, test, True, str(tmp_path / "o"), schema)
+    got = {(r["split"], r["route"]): r["n"] for r in spark.read.parquet(str(tmp_path / "o")).groupBy("split", "route").agg(F.count("*").alias("n")).collect()}
+    assert got == {("train", "valid"): 2, ("train", "invalid"): 1, ("test", "valid"): 2}
+    assert spark.read.parquet(paths["train"]).count() == 2
+
+
 def test_fingerprint_marks_nulls_and_positions(spark):
     f = lambda rows: retrain.data_version(spark.createDataFrame(rows, "a int, b int")).first()
     assert f([(None, 1), (2, 3)]) != f([(1, None), (2, 3)])
