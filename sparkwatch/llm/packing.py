@@ -2,15 +2,20 @@
 
 Tokenising writes one narrow row per piece. What is packed is the histogram of piece lengths,
 which has at most ``capacity`` entries whatever the corpus: a configuration is a multiset of
-lengths that fits one sequence, and the linear program asks for the fewest configurations
-that cover the histogram. It is solved by multiplicative weights: every length carries a
-weight, the pricing problem (the configurations of greatest weight, a knapsack) is solved by
-dynamic programming over the capacity, the best configurations that hold the longest lengths left
-are taken as often as a share of what is left allows, and the weights of the lengths they cover
-fall. Steps go on until every length is covered; a configuration is taken a whole number of times
-and holds no more copies than are left. Configurations with gaps that nothing left fills are
-placed last, by best fit with the rest, longest first, into the gaps and new sequences, group by
-group instead of piece by piece.
+lengths that fits one sequence, and the linear program asks for the fewest configurations, in
+fractions, that cover the histogram. It is solved by multiplicative weights (``solve``): every
+length carries a weight, which starts near its share of a sequence and is multiplied each round
+by exp(-RATE * the share of its pieces that the round covered, against the mean share); the pricing
+problem (the configurations of greatest weight, a knapsack) is solved by dynamic programming
+over the capacity; and the best configurations that hold the longest lengths left are taken, in
+fractions, as often as a share of the need allows. Each round's weights are a solution of the
+dual when divided by the best configuration's, and the best of them bounds the number of
+sequences from below. The fractional solution covers every length exactly.
+
+It is rounded (``rounded``): configurations are taken a whole number of times, the fractions of
+those with the same longest length carried on from one to the next, never beyond the pieces
+there are; what remains is placed by best fit, longest first, into gaps and new sequences, group
+by group instead of piece by piece.
 
 Pieces find their place without a group in one task: a piece's rank among the pieces of its
 length is an offset of its task (a prefix sum over a table of tasks by lengths) plus its rank
@@ -40,11 +45,13 @@ from .common import materialize, prepare, release_memory, require_columns, slice
 
 CAPACITY = 2048
 END_ID = 0
-#: Lengths that a step of the multiplicative-weights solver covers, the share of its load that a
-#: configuration may cover at a time, how much more a long piece's token weighs, the rate of the weights.
+#: Lengths that a round covers from, the share of a length's need that a configuration may cover at a time,
+#: how much more a long piece's token weighs at first, and the rate of the weights.
 FRONT, STEP, LONGER, RATE = 16, 0.3, 0.1, 0.05
 #: A configuration of short pieces that leaves more of a sequence free than this goes to best fit.
 GAP = 0.002
+#: Shares of a length's need below this count as covered.
+TINY = 1e-9
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -120,85 +127,119 @@ def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int,
     return dict(out)
 
 
-def _holding(k: int, best: np.ndarray, chosen: list[int], weights: np.ndarray, lengths: np.ndarray, sizes: list[int],
-             left: np.ndarray, capacity: int) -> dict[int, int]:
+def _holding(k: int, best: np.ndarray, chosen: list[int], filled: list[int], weights: np.ndarray, lengths: np.ndarray, sizes: list[int],
+             left: list[float], least: list[float], capacity: int) -> dict[int, int]:
     """The configuration of greatest weight that holds length number ``k``; where a length is used
-    up, the next best one takes its place."""
+    up, the next best one takes its place. ``filled``: the greatest capacity up to each that a
+    choice ends at."""
     out = {k: 1}
-    c = capacity - sizes[k]
+    c = filled[capacity - sizes[k]]
     while c > 0:
         j = chosen[c]
-        if j < 0:
-            c -= 1
-            continue
-        if out.get(j, 0) >= left[j]:
+        if left[j] <= least[j]:
             n = int(np.searchsorted(lengths, c, side="right"))
-            value = np.where(left[:n] > 0, best[c - lengths[:n]] + weights[:n], -1.0)
-            for i, copies in out.items():
-                if i < n and copies >= left[i]:
-                    value[i] = -1.0
+            value = np.where(np.array(left[:n]) > np.array(least[:n]), best[c - lengths[:n]] + weights[:n], -1.0)
             j = int(value.argmax())
             if value[j] < 0:
                 break
         out[j] = out.get(j, 0) + 1
-        c -= sizes[j]
+        c = filled[c - sizes[j]]
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, step: float = STEP) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """Configurations that hold exactly the histogram by multiplicative weights, and a lower bound
-    of their number from the dual. A weight starts near length / capacity, the value of a length
-    where nothing is wasted, and falls with the share of its pieces that is covered."""
+def solve(histogram: dict[int, int], capacity: int, rate: float = RATE) -> tuple[dict[tuple, float], float]:
+    """A fractional solution of the linear program by multiplicative weights: configurations, as
+    pairs (length, copies) from the longest on, with how often each is taken; it covers every
+    length exactly. And a lower bound of the number of sequences, from the dual."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
-    need = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    left = need.copy()
+    need = np.array([histogram[int(x)] for x in lengths], dtype=np.float64)
+    left, logs = need.copy(), np.log1p(LONGER * lengths / capacity)
     # weights of which no configuration holds more than one are a solution of the dual
     bound = max(float(lengths @ need) / capacity, float(need[2 * lengths > capacity].sum()))
-    plan: Counter = Counter()
+    taken: Counter = Counter()
     while left.any():
         live = np.flatnonzero(left)
-        sizes, share, count = lengths[live], left[live] / need[live], left[live]
-        weights = sizes / capacity * (1 + LONGER * sizes / capacity) * np.exp(RATE * (share - share.mean()))
+        sizes, wanted = lengths[live], need[live]
+        weights = sizes / capacity * np.exp(logs[live])
         best, chosen = _table(weights, sizes, capacity)
-        bound = max(bound, float(weights @ need[live] / best[capacity]))
-        most, names, choice = step * need[live], sizes.tolist(), chosen.tolist()
+        if len(live) == len(lengths):
+            bound = max(bound, float(weights @ wanted / best[capacity]))
+        filled = np.maximum.accumulate(np.where(chosen >= 0, np.arange(capacity + 1), 0)).tolist()
+        names, choice, count = sizes.tolist(), chosen.tolist(), left[live].tolist()
+        least, most = (TINY * wanted).tolist(), (STEP * wanted).tolist()
         for k in range(len(live) - 1, max(-1, len(live) - 1 - FRONT), -1):
-            while count[k]:
-                config = _holding(k, best, choice, weights, sizes, names, count, capacity)
-                at, copies = np.array(list(config)), np.array(list(config.values()))
+            while count[k] > least[k]:
+                config = _holding(k, best, choice, filled, weights, sizes, names, count, least, capacity)
                 # no length is covered beyond its need, nor by more than a share of it at a time
-                times = int((np.minimum(count[at], np.maximum(most[at], copies)) // copies).min())
-                count[at] -= times * copies
-                plan[tuple(sorted(((names[i], n) for i, n in config.items()), reverse=True))] += times
-        left[live] = count
-    return [(dict(k), v) for k, v in plan.items()], bound
+                times = min(min(count[i], most[i]) / copies for i, copies in config.items())
+                for i, copies in config.items():
+                    count[i] -= times * copies
+                taken[tuple((names[i], n) for i, n in sorted(config.items(), reverse=True))] += times
+        now = np.array(count)
+        now[now <= TINY * wanted] = 0.0
+        covered = (left[live] - now) / wanted
+        logs[live] -= rate * (covered - covered.mean())
+        left[live] = now
+    return dict(taken), bound
+
+
+def rounded(taken: dict[tuple, float], histogram: dict[int, int], capacity: int, carry: bool, gap: float, least: float) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of configurations near the fractional ones, within the histogram: with
+    ``carry``, fractions go on to the next configuration with the same longest length.
+    Configurations that leave more than ``gap`` free are left to best fit, unless a piece longer
+    than half a sequence makes the gap, and so are those taken fewer than ``least`` times."""
+    left, out, carried = dict(histogram), [], {}
+    for config, times in sorted(taken.items(), key=lambda c: (c[0][0][0], c[1]), reverse=True):
+        longest = config[0][0]
+        if times < least or (capacity - sum(k * n for k, n in config) > gap and 2 * longest <= capacity):
+            continue
+        total = carried.get(longest, 0.0) + times + TINY
+        whole = min(int(total), min(left[k] // n for k, n in config))
+        carried[longest] = total - TINY - whole if carry else 0.0
+        if whole:
+            out.append((dict(config), whole))
+            for k, n in config:
+                left[k] -= whole * n
+    return out
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, figures: dict | None = None) -> list[tuple[dict[int, int], int]]:
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, figures: dict | None = None,
+                   rate: float = RATE) -> list[tuple[dict[int, int], int]]:
     """Whole configurations with their multiplicities that hold exactly the histogram. ``figures``
-    takes the share of the pieces shorter than a sequence that the LP placed (``lp_share``) and how
-    far the number of sequences is above the dual bound (``gap``)."""
-    left = {k: v for k, v in histogram.items() if v > 0}
-    if any(k > capacity or k <= 0 for k in left):
+    takes the value of the fractional solution (``lp``) and the dual bound (``bound``), both with the
+    pieces as long as a sequence, the share of the shorter pieces that the rounded solution places
+    (``lp_share``), and how far the number of sequences is above the bound (``gap``)."""
+    wanted = {k: v for k, v in histogram.items() if v > 0}
+    if any(k > capacity or k <= 0 for k in wanted):
         raise ValueError("a piece is longer than a sequence")
-    groups: dict[int, list[list]] = {}  # free tokens -> [configuration, multiplicity]
+    full = wanted.pop(capacity, 0)
+    taken, bound = solve(wanted, capacity, rate) if wanted else ({}, 0.0)
+    # of a few ways to round, that of the fewest sequences, then that which places the most; of a
+    # handful of pieces the last one takes next to nothing from the fractions
+    ways = [(carry, gap, 0.0) for carry in (True, False) for gap in (capacity, GAP * capacity)] + [(False, GAP * capacity, x) for x in (4.0, 64.0)]
+    plan, placed = min((_filled(rounded(taken, wanted, capacity, *way), wanted, capacity) for way in ways), key=lambda p: (sum(p[0].values()), -p[1]))
+    if full:
+        plan[((capacity, 1),)] += full
+    if figures is not None:
+        figures |= {"lp": sum(taken.values()) + full, "bound": bound + full, "lp_share": placed / max(sum(wanted.values()), 1),
+                    "gap": sum(plan.values()) / (bound + full) - 1 if bound + full else 0.0}
+    return [(dict(k), v) for k, v in sorted(plan.items(), reverse=True)]
+
+
+def _filled(configs: list[tuple[dict[int, int], int]], histogram: dict[int, int], capacity: int) -> tuple[Counter, int]:
+    """The configurations, with what remains of the histogram placed by best fit; and the number
+    of pieces that they placed themselves."""
+    left, groups = dict(histogram), {}  # groups: free tokens -> [configuration, multiplicity]
 
     def put(config: dict[int, int], times: int):
         free = capacity - sum(k * v for k, v in config.items())
         groups.setdefault(free, []).append([config, times])
 
-    full = left.pop(capacity, 0)
-    if full:
-        put({capacity: 1}, full)
-    configs, bound = solve(left, capacity) if left else ([], 0.0)
-    pieces, placed = sum(left.values()), 0
     for config, times in configs:
-        # gaps stay only where nothing left was short enough to fill them
-        if capacity - sum(k * v for k, v in config.items()) <= GAP * capacity or 2 * max(config) > capacity:
-            put(config, times)
-            placed += times * sum(config.values())
-            for k, v in config.items():
-                left[k] -= times * v
+        put(config, times)
+        for k, v in config.items():
+            left[k] -= times * v
+    placed = sum(histogram.values()) - sum(left.values())
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:
@@ -214,13 +255,11 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, figures:
                 each = min(n, capacity // length)
                 put({length: each}, n // each)
                 n -= n // each * each
-    merged: Counter = Counter()
+    plan: Counter = Counter()
     for g in groups.values():
         for config, times in g:
-            merged[tuple(sorted(config.items(), reverse=True))] += times
-    if figures is not None:
-        figures |= {"lp_share": placed / pieces if pieces else 1.0, "gap": sum(merged.values()) / (bound + full) - 1 if bound + full else 0.0}
-    return [(dict(k), v) for k, v in sorted(merged.items(), reverse=True)]
+            plan[tuple(sorted(config.items(), reverse=True))] += times
+    return plan, placed
 
 
 def _places(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:

