@@ -217,6 +217,11 @@ def drift_gauge(timeline: DataFrame) -> DataFrame:
                                                          F.max("ts").alias("ts"))
 
 
+def feature_drift_series(scores: DataFrame, ts: str) -> DataFrame:
+    """The scores of ``drift.data_drift`` as a part of a drift series: (ts, feature, drift_type, score)."""
+    return scores.select(F.lit(ts).cast("timestamp").alias("ts"), "feature", F.col("method").alias("drift_type"), "score")
+
+
 def accuracy_gauge(rolling: DataFrame, window: int = WINDOW_SIZE) -> DataFrame:
     """MON-06: latest rolling accuracy (and window fill) per model_version and window size."""
     return (rolling.groupBy("model_version")

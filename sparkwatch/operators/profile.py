@@ -42,8 +42,13 @@ def profile_from_counts(counts: DataFrame, keys: Sequence[str] = ("feature",),
 
 
 def feature_profile(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
-                    blocks: int | None = None) -> DataFrame:
-    """Per feature: n, mean, sample std (ddof=1), q25/q50/q75 (linear interpolation)."""
+                    blocks: int | None = None, accuracy: float | None = None) -> DataFrame:
+    """Per feature: n, mean, sample std (ddof=1), q25/q50/q75 (linear interpolation). With
+    ``accuracy``, quartiles from sketches, whose ranks are right within that share of the rows, and
+    that share as ``rank_error``."""
     keys = list(keys)
+    if accuracy is not None:
+        from .sketch import feature_sketches, profile_from_sketches
+        return profile_from_sketches(feature_sketches(df, features, keys, accuracy), accuracy)
     # one pass over the rows; moments and quartiles read the materialised count table
     return profile_from_counts(cut_lineage(counts_of(df, features, keys)), keys + ["feature"], blocks)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import fixture_df, load_table, with_clause
-from ..operators import drift, profile
+from ..operators import drift, profile, sketch
 from ..operators import validate as V
 from ..schema import FEATURE_COLUMNS
 from ..session import scratch_path
@@ -239,3 +239,50 @@ def q_ks_pvalue_exact(spark, sf_dir):
                       customer=load_table(spark, sf_dir, "customer")) for q in _ACCOUNTS)
     out = drift.ks(b, c, ["balance", "nation"], exact_cells=1_000_000_000)
     return out.select("feature", "n_baseline", "n_current", F.round("score", 6).alias("score"), F.round("p_value", 6).alias("p_value"))
+
+
+#: Of a thousand and more rows a side, ranks within one per cent.
+ACCURACY = 0.01
+
+
+def _stored_sketches(spark, sf_dir):
+    """Baselines of sketches of both sides, kept by a tenth of the parts, merged after reading back."""
+    num = fixture_df(spark, sf_dir, "num").withColumn("prediction", F.lit(0))
+    num = num.withColumn("part", F.pmod(F.xxhash64("l_extendedprice"), F.lit(10)))
+    path = scratch_path(spark, "sketched")
+    for at, side in ((1, "baseline"), (2, "current")):
+        io.baseline_store(num.filter(F.col("side") == side), NUM_FEATURES, path, side, f"2024-01-0{at} 00:00:00", accuracy=ACCURACY, part_cols=["part"])
+    return num, [sketch.merge_sketches(io.latest_baseline(spark, path, side, io.SKETCH_TABLES)["sketches"]) for side in ("baseline", "current")]
+
+
+@register("feature_profile_sketch", with_clause("num_long") + """
+SELECT side, feature, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, true AS quartiles_within
+FROM num_long WHERE value IS NOT NULL GROUP BY side, feature""")
+def q_feature_profile_sketch(spark, sf_dir):
+    """AGG-04 / SNK-05 with accuracy=0.01: profiles from stored, merged sketches; each quartile's exact
+    rank is within the stated bound of its own."""
+    num, sides = _stored_sketches(spark, sf_dir)
+    out = None
+    for side, merged in zip(("baseline", "current"), sides):
+        prof = sketch.profile_from_sketches(merged, ACCURACY)
+        counts = drift.counts_of(num.filter(F.col("side") == side), NUM_FEATURES)
+        ranked = counts.join(F.broadcast(prof.select("feature", "n", "q25", "q50", "q75")), "feature").groupBy("feature", "n").agg(
+            *[F.sum(F.when(F.col("value") < F.col(q), F.col("c")).otherwise(0)).alias(f"{q}_below") for q, _ in sketch.QUARTILES],
+            *[F.sum(F.when(F.col("value") <= F.col(q), F.col("c")).otherwise(0)).alias(f"{q}_upto") for q, _ in sketch.QUARTILES])
+        within = F.lit(True)
+        for q, p in sketch.QUARTILES:
+            within = within & (F.col(f"{q}_below") / F.col("n") <= p + ACCURACY) & (F.col(f"{q}_upto") / F.col("n") >= p - ACCURACY)
+        one = prof.join(ranked.select("feature", within.alias("quartiles_within")), "feature").select(
+            F.lit(side).alias("side"), "feature", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "quartiles_within")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("ks_sketch", f"SELECT feature, n_baseline, n_current, round(score, 6) AS score, true AS within FROM ({O.ks_sql('num_long', NUM_FEATURES, O.num_prelude(), with_p=False)})")
+def q_ks_sketch(spark, sf_dir):
+    """DRF-01 from sketches: the exact statistic, and whether the sketched one is within its error."""
+    num, (b, c) = _stored_sketches(spark, sf_dir)
+    found = sketch.ks_from_sketches(b, c, ACCURACY).select("feature", F.col("score").alias("sketched"), "error")
+    exact = drift.ks(num.filter("side = 'baseline'"), num.filter("side = 'current'"), NUM_FEATURES)
+    return exact.join(found, "feature").select("feature", "n_baseline", "n_current", F.round("score", 6).alias("score"),
+                                               (F.abs(F.col("score") - F.col("sketched")) <= F.col("error")).alias("within"))

@@ -198,6 +198,12 @@ def q_split_features_label(spark, sf_dir):
     return ph.drop("Result")
 
 
+@register("split_label", with_clause("phish") + "SELECT row_key, Result FROM phish")
+def q_split_label(spark, sf_dir):
+    """PRJ-01: y, the target alone, with the key that joins it to X."""
+    return fixture_df(spark, sf_dir, "phish").select("row_key", "Result")
+
+
 @register("feedback_totals", FV + """SELECT count(*) AS total_records, count(actual_label) AS labeled_records,
        count(*) - count(actual_label) AS unlabeled_records,
        round(coalesce(count(actual_label) / nullif(count(*), 0), 0.0), 6) AS labeling_rate FROM fv""")

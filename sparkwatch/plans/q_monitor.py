@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import fixture_df, with_clause
+from ..operators import drift as D
 from ..operators import monitor as MO
 from ..schema import FEATURE_COLUMNS
 from . import oracle_sql as O
+from .q_drift import NUM_FEATURES
 from .q_feedback import FV, FV_DERIVED, view
 from .registry import entries_text, register
 
@@ -199,6 +201,29 @@ def q_drift_gauge(spark, sf_dir):
     return MO.drift_gauge(_timeline(spark, sf_dir))
 
 
+def _feature_gauge_sql() -> str:
+    parts = [f"SELECT feature, '{m}' AS drift_type, score AS value, TIMESTAMP '{at}' AS ts FROM ({sql})"
+             for m, at, sql in (("psi", "2024-01-02 00:00:00", O.psi_sql("num_long", NUM_FEATURES, O.num_prelude())),
+                                ("ks", "2024-01-02 00:00:00", O.ks_sql("num_long", NUM_FEATURES, O.num_prelude(), with_p=False)),
+                                ("js", "2024-01-02 00:00:00", O.js_sql("num_long", NUM_FEATURES, O.num_prelude())))]
+    return "\nUNION ALL ".join(parts)
+
+
+@register("drift_gauge_features", _feature_gauge_sql())
+def q_drift_gauge_features(spark, sf_dir):
+    """MON-05: the latest score of each feature by each drift type, of a series of two computations:
+    the baseline against itself first, then the current rows against it."""
+    num = fixture_df(spark, sf_dir, "num")
+    b, c = num.filter("side = 'baseline'"), num.filter("side = 'current'")
+    series = None
+    for method in ("psi", "ks", "js"):
+        for at, rows in (("2024-01-01 00:00:00", b), ("2024-01-02 00:00:00", c)):
+            one = MO.feature_drift_series(D.data_drift(b, rows, NUM_FEATURES, method=method), at)
+            series = one if series is None else series.unionByName(one)
+    out = MO.drift_gauge(series)
+    return out.withColumns({"value": F.round("value", 6), "ts": F.col("ts").cast("timestamp_ntz")})
+
+
 @register("accuracy_gauge", FV + "," + ROLL_SQL + """
 SELECT model_version, round(arg_max(rolling_accuracy, rn), 6) AS value, arg_max(window_fill, rn) AS in_window,
        '100' AS window_size FROM roll GROUP BY model_version""")

@@ -89,18 +89,26 @@ def validation_report_sink(report: DataFrame, path: str) -> str:
 
 
 def baseline_store(df: DataFrame, features: Sequence[str], path: str, model_version: str, created_at: str,
-                   pred_col: str = "prediction") -> str:
+                   pred_col: str = "prediction", accuracy: float | None = None, part_cols: Sequence[str] = ()) -> str:
     """SNK-05: append the baseline of a model version, computed from its feature rows and their
     predictions: value counts, profile, class distribution and number of samples, as tables
     partitioned by ``model_version`` under ``path``. The counts are what drift is measured
-    against later; no row needs to be kept."""
+    against later; no row needs to be kept. With ``accuracy``, quantile sketches take the place of
+    counts and profile, one for each feature and group of ``part_cols`` (e.g. the day): they have a
+    bounded size and merge over any groups (``operators/sketch.py``)."""
     from ..operators.drift import class_distribution, counts_of
     from ..operators.profile import profile_from_counts
+    from ..operators.sketch import feature_sketches
 
     def put(part: DataFrame, name: str) -> None:
         (part.withColumn("created_at", F.lit(created_at).cast("timestamp")).withColumn("model_version", F.lit(model_version))
          .write.mode("append").partitionBy("model_version").parquet(f"{path}/{name}"))
 
+    if accuracy is not None:
+        put(feature_sketches(df, features, part_cols, accuracy).withColumn("accuracy", F.lit(float(accuracy))), "sketches")
+        put(class_distribution(df, pred_col), "classes")
+        put(df.agg(F.count(F.lit(1)).alias("total_samples")), "samples")
+        return path
     put(counts_of(df, features), "counts")
     stored = df.sparkSession.read.parquet(f"{path}/counts")
     own = stored.filter((F.col("model_version") == model_version) & (F.col("created_at") == F.lit(created_at).cast("timestamp")))
@@ -114,9 +122,12 @@ def baseline_store(df: DataFrame, features: Sequence[str], path: str, model_vers
 BASELINE_TABLES = ("counts", "profile", "classes", "samples")
 
 
-def latest_baseline(spark: SparkSession, path: str, model_version: str | None = None) -> dict[str, DataFrame]:
+SKETCH_TABLES = ("sketches", "classes", "samples")
+
+
+def latest_baseline(spark: SparkSession, path: str, model_version: str | None = None, tables: Sequence[str] = BASELINE_TABLES) -> dict[str, DataFrame]:
     """SNK-05: the tables of the most recently created baseline (by ``created_at``, not by version
-    text), or of the latest one of ``model_version``."""
+    text), or of the latest one of ``model_version``; ``tables``: SKETCH_TABLES for one of sketches."""
     known = spark.read.parquet(f"{path}/samples")
     if model_version is not None:
         known = known.filter(F.col("model_version") == model_version)
@@ -124,7 +135,7 @@ def latest_baseline(spark: SparkSession, path: str, model_version: str | None =
     if newest is None:
         raise FileNotFoundError(f"no baseline in {path}")
     one = (F.col("model_version") == newest["model_version"]) & (F.col("created_at") == F.lit(newest["created_at"]))
-    return {name: spark.read.parquet(f"{path}/{name}").filter(one) for name in BASELINE_TABLES}
+    return {name: spark.read.parquet(f"{path}/{name}").filter(one) for name in tables}
 
 
 def assemble_features(df: DataFrame, features: Sequence[str], label_col: str | None = None,
