@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch, unless the session sets another number than Spark's default: texts
 #: are long, and a batch exists several times over in the JVM and the Python worker.
 BATCH_CONF, DEFAULT_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Bytes of a batch, in the same way: a thousand long texts would be some hundred megabytes.
+BYTES_CONF, DEFAULT_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,8 +27,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     operator calls it first."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    if spark.conf.get(BATCH_CONF) == DEFAULT_BATCH:
-        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+    for conf, default, value in ((BATCH_CONF, DEFAULT_BATCH, BATCH_ROWS), (BYTES_CONF, DEFAULT_BYTES, BATCH_BYTES)):
+        if spark.conf.get(conf, None) == default:
+            spark.conf.set(conf, value)
     return spark
 
 
@@ -48,7 +51,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs a re-read instead of a recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Removes what ``materialize`` has written, once all that was made from it is stored itself."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
