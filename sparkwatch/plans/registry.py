@@ -28,9 +28,10 @@ REGISTRY: dict[str, Entry] = {}
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-            from ..session import ensure_checkpoint_dir, ship_package
+            from ..session import bound_methods, ensure_checkpoint_dir, ship_package
             ensure_checkpoint_dir(spark)
             ship_package(spark)
+            bound_methods(spark)
             return round_doubles(fn(spark, sf_dir))
         wrapped.__name__ = fn.__name__
         wrapped.__doc__ = fn.__doc__

@@ -22,3 +22,18 @@ def test_check_types_counts_bad_values(spark):
     assert out[FEATURE_COLUMNS[0]] == (2, 0) and out[FEATURE_COLUMNS[1]] == (3, 1)
     routed = {r["route"]: r["count"] for r in V.route_rows(df, feature_schema()).groupBy("route").count().collect()}
     assert routed == {"valid": 2, "invalid": 1}
+
+
+def test_generated_methods_stay_within_what_the_jvm_compiles(spark):
+    from sparkwatch.session import METHOD_CONF, METHOD_DEFAULT, METHOD_LIMIT, bound_methods
+
+    before = spark.conf.get(METHOD_CONF, METHOD_DEFAULT)
+    try:
+        spark.conf.set(METHOD_CONF, METHOD_DEFAULT)
+        bound_methods(spark)
+        assert spark.conf.get(METHOD_CONF) == METHOD_LIMIT
+        spark.conf.set(METHOD_CONF, "20000")  # a limit of the session's own
+        bound_methods(spark)
+        assert spark.conf.get(METHOD_CONF) == "20000"
+    finally:
+        spark.conf.set(METHOD_CONF, before)
