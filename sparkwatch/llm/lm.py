@@ -7,8 +7,7 @@ before): a causal self-attention network (``attention.py``) for the class, smoot
 the id within it. A text's score is the log10 probability of its ids, end included.
 
 1. One pass over the training texts counts words (partial counts in tasks, summed by Spark) and
-   writes a share of their spans as ids: each SHARE-th span of SPAN words, from a start that the
-   text's hash gives, so that training data grows with the corpus.
+   writes all their ids as spans of SPAN words, cut after WINDOW ids, each with the id before it.
 2. Counts of ids, and of pairs of ids within words, follow from the table of distinct words, so
    every training text counts fully. Frequent ids are classes of their own, the others are
    grouped by the ids they stand beside (spectral k-means on a table bounded by the vocabulary).
@@ -59,8 +58,8 @@ CLASSES = SINGLE + GROUPED + 1
 WIDTH = 16
 #: Ids whose pairs refine the distribution within a class, and ids that describe others by standing beside them.
 FINE, NEAR = 1_024, 64
-#: Words of a training span, and the share of spans that train (one in SHARE).
-SPAN, SHARE = 13, 4
+#: Words of a training span.
+SPAN = 13
 #: Sixteenths of the spans of each round, and its learning rate.
 ROUNDS = ((1, 0.01), (2, 0.007), (4, 0.004), (9, 0.002))
 MINIBATCH = 16
@@ -136,12 +135,14 @@ def _gather(path: str):
                 tokens.append(b"")
                 counts.update(tokens)
                 mark = zlib.crc32(data)
-                for j in range(mark % SHARE, -(-len(tokens) // SPAN), SHARE):
-                    start = j * SPAN
-                    ids = b"".join(map(ids_of.__getitem__, tokens[start : start + SPAN]))[: 2 * WINDOW]
-                    before = ids_of[tokens[start - 1] if start else b""][-2:]
-                    turns.append((mark // SHARE + j // SHARE) % 16)
-                    spans.append(before + ids)
+                before = ids_of[b""][-2:]
+                for j in range(-(-len(tokens) // SPAN)):
+                    ids = b"".join(map(ids_of.__getitem__, tokens[j * SPAN : (j + 1) * SPAN]))
+                    for at in range(0, len(ids), 2 * WINDOW):
+                        part = ids[at : at + 2 * WINDOW]
+                        turns.append((mark + j) % 16)
+                        spans.append(before + part)
+                        before = part[-2:]
             if spans:
                 n = len(spans)
                 yield pa.RecordBatch.from_arrays(

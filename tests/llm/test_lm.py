@@ -160,3 +160,19 @@ def test_better_than_the_base(spark):
     r = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).toPandas()
     r = r[r.held_out]
     assert len(r) > 20 and r.score.sum() > r.base_score.sum()
+
+
+def test_every_position_of_a_training_text_is_in_a_span():
+    import pyarrow as pa
+
+    # many words, words of many ids, and an empty text
+    texts = [" ".join(f"word{i}" for i in range(200)).encode(), ("x" + "qzj" * 300 + " end").encode(), b""]
+    (spans, *_) = lm._gather(PATH)(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())})]))
+    ids_of = lm.WordIds(PATH)
+    whole = [b"".join(ids_of[w] for w in [*lm.words_of(t), b""]) for t in texts]
+    got = spans.column("ids").to_pylist()
+    assert b"".join(s[2:] for s in got) == b"".join(whole)
+    assert max(len(s) // 2 - 1 for s in got) <= lm.WINDOW
+    end = ids_of[b""]
+    before = [end[-2:], *(s[-2:] for s in got[:-1])]
+    assert [s[:2] for s in got] == before  # a text ends as the next begins
