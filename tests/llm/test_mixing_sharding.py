@@ -127,6 +127,19 @@ def test_mix_equals_the_rule(spark, rows):
     assert out == +expected
 
 
+def test_texts_are_not_moved(spark):
+    frame = docs(spark, [(i, "w " * (i % 9), "en", "abc"[i % 3], i) for i in range(300)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixing.mix_documents(frame)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_targets_of_rows_without_ids(spark):
     rows = [(None, "w w w", "en", "ab"[i >= 2000], i % 7) for i in range(4000)]
     taken = Counter()
