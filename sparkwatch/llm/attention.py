@@ -84,7 +84,7 @@ def loss_and_gradients(p: dict[str, np.ndarray], table: np.ndarray, x: np.ndarra
         np.maximum(z, _LEAST, out=z)
     np.exp(z, out=z)
     z *= np.take(table, flat_x, axis=0)
-    total = z.sum(1)
+    total = z @ np.ones(z.shape[1], z.dtype)
     weight = real.ravel().astype(np.float32)
     weight /= max(weight.sum(), 1.0)
     rows = np.arange(len(flat_y))
@@ -110,28 +110,26 @@ def loss_and_gradients(p: dict[str, np.ndarray], table: np.ndarray, x: np.ndarra
         grad = grad.reshape(-1, d)
         g[name] = e.T @ grad
         de += grad @ p[name].T
-    order = np.argsort(flat_x, kind="stable")
-    classes, starts = np.unique(flat_x[order], return_index=True)
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][classes] = np.add.reduceat(de[order], starts, axis=0)
+    places = flat_x[:, None] * d + np.arange(d)
+    g["embed"] = np.bincount(places.ravel(), de.ravel(), p["embed"].size).reshape(-1, d).astype(de.dtype)
     return loss, g
 
 
 class Adam:
-    def __init__(self, weights: dict[str, np.ndarray], rate: float):
-        self.weights, self.rate, self.step = weights, rate, 0
-        self.mean = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.square = {k: np.zeros_like(v) for k, v in weights.items()}
+    """Changes ``flat``, the array that all weights are views of."""
+
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.flat, self.rate, self.step = flat, rate, 0
+        self.mean, self.square = np.zeros_like(flat), np.zeros_like(flat)
 
     def update(self, grads: dict[str, np.ndarray], warm: int = 20) -> None:
         self.step += 1
         rate = self.rate * min(1.0, self.step / warm)
-        for name, g in grads.items():
-            m, s = self.mean[name], self.square[name]
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            change = (m / (1 - 0.9**self.step)) / (np.sqrt(s / (1 - 0.99**self.step)) + 1e-8)
-            self.weights[name] -= (rate * change).astype(np.float32)
+        g, m, s = flatten(grads), self.mean, self.square
+        m += 0.1 * (g - m)
+        s += 0.01 * (g * g - s)
+        change = (m / (1 - 0.9**self.step)) / (np.sqrt(s / (1 - 0.99**self.step)) + 1e-8)
+        self.flat -= (rate * change).astype(np.float32)
 
 
 class Scorer:

@@ -7,7 +7,7 @@ before): a causal self-attention network (``attention.py``) for the class, smoot
 the id within it. A text's score is the log10 probability of its ids, end included.
 
 1. One pass over the training texts counts words (partial counts in tasks, summed by Spark) and
-   writes all their ids as spans of SPAN words, cut after WINDOW ids, each with the id before it.
+   writes all their ids as spans of WINDOW ids, each with the id before it.
 2. Counts of ids, and of pairs of ids within words, follow from the table of distinct words, so
    every training text counts fully. Frequent ids are classes of their own, the others are
    grouped by the ids they stand beside (spectral k-means on a table bounded by the vocabulary).
@@ -58,8 +58,6 @@ CLASSES = SINGLE + GROUPED + 1
 WIDTH = 16
 #: Ids whose pairs refine the distribution within a class, and ids that describe others by standing beside them.
 FINE, NEAR = 1_024, 64
-#: Words of a training span.
-SPAN = 13
 #: Sixteenths of the spans of each round, and its learning rate.
 ROUNDS = ((1, 0.01), (2, 0.007), (4, 0.004), (9, 0.002))
 MINIBATCH = 16
@@ -135,14 +133,11 @@ def _gather(path: str):
                 tokens.append(b"")
                 counts.update(tokens)
                 mark = zlib.crc32(data)
-                before = ids_of[b""][-2:]
-                for j in range(-(-len(tokens) // SPAN)):
-                    ids = b"".join(map(ids_of.__getitem__, tokens[j * SPAN : (j + 1) * SPAN]))
-                    for at in range(0, len(ids), 2 * WINDOW):
-                        part = ids[at : at + 2 * WINDOW]
-                        turns.append((mark + j) % 16)
-                        spans.append(before + part)
-                        before = part[-2:]
+                ids = ids_of[b""][-2:] + b"".join(map(ids_of.__getitem__, tokens))
+                # the id before, and all that a window holds: none but a text's last one is padded
+                own = [ids[at : at + 2 * WINDOW + 2] for at in range(0, len(ids) - 2, 2 * WINDOW)]
+                turns.extend([(mark + j) % 16 for j in range(len(own))])
+                spans.extend(own)
             if spans:
                 n = len(spans)
                 yield pa.RecordBatch.from_arrays(
@@ -318,8 +313,9 @@ def _train(model: Tables, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         classes = model.group[model.rank]
-        weights = unflatten(model.weights.copy(), CLASSES, WIDTH)
-        adam, rng, seen = Adam(weights, rate), np.random.default_rng(0), 0
+        flat = model.weights.astype(np.float32)
+        weights = unflatten(flat, CLASSES, WIDTH)  # views of it
+        adam, rng, seen = Adam(flat, rate), np.random.default_rng(0), 0
         for batch in batches:
             spans = [classes[np.frombuffer(s, "<u2")] for s in batch.column("ids").to_pylist()]
             order = rng.permutation(len(spans))
@@ -333,9 +329,8 @@ def _train(model: Tables, rate: float):
                 adam.update(loss_and_gradients(weights, model.turns, x, y, real)[1])
             seen += len(spans)
         if seen:
-            flat = flatten(weights).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), seen, np.int64))],
+                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen, np.int64))],
                 names=["i", "v", "n"])
         release_memory()
 

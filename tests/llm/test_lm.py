@@ -176,3 +176,14 @@ def test_every_position_of_a_training_text_is_in_a_span():
     end = ids_of[b""]
     before = [end[-2:], *(s[-2:] for s in got[:-1])]
     assert [s[:2] for s in got] == before  # a text ends as the next begins
+
+
+def test_windows_are_full_but_for_a_texts_last_one():
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{i}" for i in range(200)).encode(), b"", b"the red fox"]
+    (spans, *_) = lm._gather(PATH)(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())})]))
+    ids_of = lm.WordIds(PATH)
+    sizes = [sum(len(ids_of[w]) // 2 for w in [*lm.words_of(t), b""]) for t in texts]
+    want = [min(lm.WINDOW, n - at) for n in sizes for at in range(0, n, lm.WINDOW)]
+    assert [len(s) // 2 - 1 for s in spans.column("ids").to_pylist()] == want
