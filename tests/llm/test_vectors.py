@@ -128,6 +128,20 @@ def test_groups_of_a_dense_cell_are_bounded():
     assert len(met) == (n + visitors) * (n + visitors - 1) // 2
 
 
+def test_rows_of_many_visits_are_dealt_in_bounded_batches():
+    rows, dim, visits = 40, 64, 3000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(rows, np.int64)), pa.array(np.full(rows, dim, np.int32)), pa.array(np.arange(rows)), pa.array(np.ones(rows, np.int64)),
+         pa.array([[float(i)] * dim for i in range(rows)]), pa.array(np.zeros(rows, np.int64)), pa.array([list(range(1, visits + 1))] * rows, pa.list_(pa.int64()))],
+        names=["label", "size", "rep", "copies", "embedding", "cell", "visits"])
+    met = []
+    for b in dedup._deal({}, {})([batch]):
+        assert b.nbytes < 20_000_000
+        assert (b.column("embedding").flatten().to_numpy().reshape(-1, dim) == b.column("rep").to_numpy()[:, None]).all()
+        met += zip(b.column("rep").to_pylist(), b.column("cell").to_pylist(), b.column("visitor").to_pylist())
+    assert sorted(met) == [(i, c, int(c > 0)) for i in range(rows) for c in range(visits + 1)]
+
+
 def test_links_of_a_group_are_folded():
     rng = np.random.default_rng(4)
     n, home = 6000, 3500
